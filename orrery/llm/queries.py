@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, html, njaccard, quality, toxicity
 from .common import documents
 
 #: Folder of the public tokenizers' files; set it where they are elsewhere.
@@ -23,5 +24,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op7_quality": op7_quality}
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return njaccard.near_duplicates(documents(spark, sf_dir), width=3, percent=90)
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = toxicity.score(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.expr(f"if(score >= {toxicity.THRESHOLD}, 1, 0)").alias("predicted"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_html": op3_html, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity}
 SQL: dict[str, str] = {}
