@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import map_arrow, text_of
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -209,7 +209,7 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], [id_col, "ids"])
 
     src = df.select(F.col(id_col), text_of(df, text_col).alias("t"))
-    return src.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, ids array<int>")
+    return map_arrow(src, run, f"`{id_col}` {dict(df.dtypes)[id_col]}, ids array<int>")
 
 
 def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -222,7 +222,7 @@ def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             out = [tables.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [id_col, "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, text string")
+    return map_arrow(df.select(id_col, ids_col), run, f"`{id_col}` {dict(df.dtypes)[id_col]}, text string")
 
 
 def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,4 +247,4 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = df.select(F.col(id_col), text_of(df, text_col).alias("t"))
-    return src.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(src, run, f"`{id_col}` {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

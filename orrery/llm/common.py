@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,18 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with this package on the path of local Python workers.
+
+    On a cluster the package is installed or passed with ``--py-files``.
+    """
+    env = df.sparkSession.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    return df.mapInArrow(run, schema)
+
+
 def text_of(df: DataFrame, text: str = "text") -> Column:
     """The text column, with null as the empty text."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

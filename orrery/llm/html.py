@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 # HTML element names by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("script style noscript template iframe object svg math canvas audio video title textarea select button".split())
@@ -221,4 +223,4 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     types = dict(df.dtypes)
     src = df.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("h"))
-    return src.mapInArrow(run, f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string, n_chars long")
+    return map_arrow(src, run, f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string, n_chars long")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, text_of
+from .common import map_arrow, materialize, small, text_of
 from .graph import connected_components
 
 #: Coordinates of a point.
@@ -139,7 +139,7 @@ def sketch(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays(out, ["id", "n", "f1", "f2", "keys", "point"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), text_of(df, text_col).alias("t"))
-    return src.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>, point binary")
+    return map_arrow(src, run, "id long, n long, f1 long, f2 long, keys array<long>, point binary")
 
 
 class RTree:
@@ -268,7 +268,7 @@ def search(cells: DataFrame, percent: int, every: bool) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = cells.repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(run, "a long, b long").filter("a < b").distinct()
+    return map_arrow(dealt, run, "a long, b long").filter("a < b").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -281,7 +281,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "s"])
 
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = docs.join(small(ids), "id", "left_semi").mapInArrow(run, "id long, s array<long>")
+    sets = map_arrow(docs.join(small(ids), "id", "left_semi"), run, "id long, s array<long>")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("o", F.size(F.array_intersect("sa", "sb")))
     return both.filter(f"100 * o >= {percent} * (size(sa) + size(sb) - o)").select("a", "b").distinct()

@@ -1,10 +1,9 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Method. Labels are given for documents, so tokens of the labelled training
-documents are labelled first: the fewest features (a word, or its first letters)
-that occur in toxic documents, hardly ever in clean ones, and together explain
-the toxic documents; every word of a toxic document with such a feature is
-toxic. A chain of two states is trained on these tokens. When scoring,
+documents are labelled first: a word of a toxic document is toxic if the word,
+or its first letters, occur in many different contexts of toxic documents and
+hardly ever in clean ones. A chain of two states is trained on these tokens. When scoring,
 forward-backward gives each word's marginal; a document's score is its largest
 one, and words at or above the threshold, as offsets, are its offending spans.
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import map_arrow, text_of
 
 #: Labelled documents of each label that the model is fitted on at most.
 TRAIN_DOCS = 1500
@@ -38,8 +37,8 @@ TRAIN_DOCS = 1500
 PIECE, CLEAN_PIECES = 64, 3
 #: Weights of hashed features.
 BITS = 18
-#: Smallest number of otherwise unexplained toxic documents for a feature, and its least odds against clean ones.
-SUPPORT, ODDS, PENALTY = 4, 25.0, 20
+#: How unlikely by chance a feature's contexts must be, and how many toxic ones outweigh a clean one.
+EVIDENCE, PENALTY = 18.0, 50
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 REMEMBERED = 300_000
@@ -69,27 +68,31 @@ def neighbour_features(side: str, w: str) -> list[int]:
 
 
 def token_cues(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Features ("=word" or "^first letters") that explain the toxic documents, chosen greedily."""
-
-    def cues(ws: list[str]) -> set[str]:
-        return {f"={w}" for w in ws} | {f"^{w[:k]}" for w in ws for k in (4, 5) if len(w) >= k}
-
-    of = [cues(set(ws)) for ws in docs]
-    clean = Counter(c for c, t in zip(of, toxic, strict=True) if not t for c in c)
-    n_clean = max(1, int((~toxic).sum()))
-    n_toxic = max(1, int(toxic.sum()))
-    total = Counter(c for c, t in zip(of, toxic, strict=True) if t for c in c)
-    usable = {c for c, n in total.items() if n >= SUPPORT and (n / n_toxic) / ((clean[c] + 0.5) / n_clean) >= ODDS}
-    open_docs = [c & usable for c, t in zip(of, toxic, strict=True) if t]
-    chosen: set[str] = set()
-    while True:
-        left = Counter(c for cs in open_docs for c in cs)
-        # A clean document weighs as PENALTY toxic ones; of equals, the feature found oftener over all, then the longer one.
-        best = max(left, key=lambda c: (left[c] - PENALTY * clean[c], total[c], len(c), c), default=None)
-        if best is None or left[best] < SUPPORT:
-            return chosen
-        chosen.add(best)
-        open_docs = [cs for cs in open_docs if best not in cs]
+    """Features ("=word" or "^first letters") that occur in toxic documents and hardly ever in clean ones.
+
+    What is counted are different contexts (the word with both neighbours), so
+    that copies of one document don't vouch for each other. A feature counts
+    if chance would put all of its contexts into toxic documents with a
+    probability below exp(-EVIDENCE), and at most a PENALTY-th are clean.
+    """
+    seen: list[set[tuple[str, str, str]]] = [set(), set()]
+    for ws, t in zip(docs, toxic, strict=True):
+        seen[int(t)].update(zip(ws, ["", *ws[:-1]], [*ws[1:], ""], strict=True))
+
+    def count(contexts: set) -> Counter:
+        out: Counter = Counter()
+        for w, n in Counter(c[0] for c in contexts).items():
+            for cue in {f"={w}", *(f"^{w[:k]}" for k in (4, 5) if len(w) >= k)}:
+                out[cue] += n
+        return out
+
+    clean, bad = count(seen[0]), count(seen[1])
+    surprise = -np.log(len(seen[1]) / max(1, len(seen[0]) + len(seen[1])))
+    found = {c for c, n in bad.items() if n * surprise >= EVIDENCE and clean[c] * PENALTY <= n}
+    # First letters that stand for one word only say no more than the word, and might catch others.
+    for w in [c[1:] for c in found if c[0] == "="]:
+        found -= {c for c in (f"^{w[:4]}", f"^{w[:5]}") if c in found and bad[f"={w}"] >= 0.85 * bad[c]}
+    return found
 
 
 def has_cue(w: str, cues: set[str]) -> bool:
@@ -313,7 +316,7 @@ def score(df: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], [id_col, "score", "spans"])
 
     src = df.select(F.col(id_col), text_of(df, text_col).alias("t"))
-    return src.mapInArrow(run, f"`{id_col}` {types[id_col]}, score double, spans array<struct<start:int,end:int,p:double>>")
+    return map_arrow(src, run, f"`{id_col}` {types[id_col]}, score double, spans array<struct<start:int,end:int,p:double>>")
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -341,4 +344,4 @@ def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 k = end
             yield batch.filter(pa.array(keep))
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
