@@ -100,15 +100,16 @@ def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
         return np.empty(0, np.int64)
     value = _mix(s + _U(0x632BE59BD9B4E019))
     for top, m in blocks(n, percent):
+        salt = _U(top * 0x9E3779B97F4A7C15 % (1 << 64))
         at = (s % _U(m)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         filled, starts = np.unique(at[order], return_index=True)
         content = np.add.reduceat(value[order], starts)
-        where = _mix(filled.astype(np.uint64) + _U(top) * _U(0x9E3779B97F4A7C15))
+        where = _mix(filled.astype(np.uint64) + salt)
         out.append(_mix(where ^ content))
         if len(filled) <= differ:
             empty = np.setdiff1d(np.arange(m), filled).astype(np.uint64)
-            out.append(_mix(_mix(empty + _U(top) * _U(0x9E3779B97F4A7C15)) ^ _U(0x5851F42D4C957F2D)))
+            out.append(_mix(_mix(empty + salt) ^ _U(0x5851F42D4C957F2D)))
     return np.concatenate(out).astype(np.int64)
 
 
