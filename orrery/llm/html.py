@@ -74,7 +74,8 @@ def _judged(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id"):
-            names.update(_NAME.findall(value))
+            # A class such as has-sidebar or no-comments says what the element isn't.
+            names.update(n for token in value.split() if not token.startswith(("no-", "has-", "with-")) for n in _NAME.findall(token))
         elif key == "role" and value in APART_ROLES:
             names.add("nav")
         elif key == "hidden" and (m[2] or not attrs[m.end() :].startswith("-")) or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
