@@ -53,7 +53,7 @@ STOP_WORDS = set(
 LONG, LINKED, STOPPED = 70, 0.33, 0.08
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
+_ATTR = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,7 +78,7 @@ def _judged(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
             names.update(n for token in value.split() if not token.startswith(("no-", "has-", "with-")) for n in _NAME.findall(token))
         elif key == "role" and value in APART_ROLES:
             names.add("nav")
-        elif key == "hidden" and (m[2] or not attrs[m.end() :].startswith("-")) or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
     if tag in ("html", "body", "main"):
         return False, False, tag == "main"
@@ -195,6 +195,7 @@ def judge(found: list[Block]) -> None:
     after: list[tuple[int, bool] | None] = [None] * len(found)
     seen: dict[int, tuple[int, bool]] = {}
     known = {i: (s, g) for i, s, g in decided}
+    good = {s for _, s, g in decided if g}
     for i in range(len(found) - 1, -1, -1):
         after[i] = seen.get(found[i].section)
         if i in known:
@@ -204,7 +205,8 @@ def judge(found: list[Block]) -> None:
             before[known[i][0]] = (i, known[i][1])
             continue
         near = [(abs(i - j), not g, g) for j, g in (x for x in (before.get(b.section), after[i]) if x)]
-        b.good = min(near)[2] if near else True  # equally near: the good one
+        # Equally near: the good one. Without a good block, what the page marks as its article is good.
+        b.good = min(near)[2] if near and (b.section in good or not b.main) else True
 
 
 def extract(page: str | None) -> str:
