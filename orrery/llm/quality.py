@@ -118,3 +118,22 @@ def quality_report(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
         .withColumn("rejected_by", F.expr(f"CASE {case} END"))
         .withColumn("kept", F.expr("not base_failed and rejected_by is null"))
     )
+
+
+#: The query op7 in SQL: the same measures, and the verdict of all rules (their order makes no difference to it).
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM (
+      SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS x, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range(0, 3) AS o(k) WHERE c > 1 GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(ws, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_upper
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 2 * n_upper > n_words OR word_chars > 20 * n_words OR word_chars < 2 * n_words) AS kept
+FROM b
+"""

@@ -70,4 +70,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_licences": op10_licences,
 }
-SQL: dict[str, str] = {"op5_sharding": sharding.SQL}
+SQL: dict[str, str] = {"op2_ngram_jaccard": njaccard.SQL, "op5_sharding": sharding.SQL, "op7_quality": quality.SQL}

@@ -345,6 +345,16 @@ def test_pipeline_equals_its_stages_and_keeps_columns(spark, sf_dir):
     assert final == {r["doc_id"] for r in at.collect()}
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = con.execute(queries.SQL[name])
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert got.columns == [d[0] for d in found.description]
+    assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
+
+
 def test_queries_cover_the_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
