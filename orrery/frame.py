@@ -268,6 +268,11 @@ class Frame:
             raise IndexError(f"there is no row {i}")
         return found[0]
 
+    def value(self, i: int, name: str):
+        """One value, by its row's number and its column."""
+        relational.require(self._df, [name])
+        return self.row(i)[name]
+
     def equals(self, other: Frame) -> bool:
         """Same columns and types, and the same rows in order."""
         return self.schema == other.schema and self.to_dicts() == other.to_dicts()

@@ -309,6 +309,14 @@ def arg_max(a: Column, order: Column | str) -> Column:
     return -F.max(F.when(a.isNotNull(), F.struct(a.alias("v"), (-order).alias("k"))))["k"]
 
 
+def sort_by(a: Column, by: Column, descending: bool = False) -> Column:
+    """The values of a column as a list, in the order of another one (nulls last); for lists that fit a row."""
+    known = F.array_sort(F.collect_list(F.when(by.isNotNull(), F.struct(by.alias("k"), a.alias("v")))))
+    values = F.transform(F.reverse(known) if descending else known, lambda x: x["v"])
+    rest = F.transform(F.collect_list(F.when(by.isNull(), F.struct(a.alias("v")))), lambda x: x["v"])
+    return F.concat(values, rest)
+
+
 def over(aggregate: Column | str, *partition: str, of: Column | None = None) -> Column:
     """An aggregate of each row's partition; null keys form a partition.
 

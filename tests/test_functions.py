@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import expr as E
 from orrery.functions import strings as S
 from orrery.functions import temporal as D
+from orrery.functions import types as T
 from orrery.functions.layout import spark_pattern
 
 
@@ -101,3 +102,20 @@ def test_aggregates(spark):
         E.var(F.col("v"), 3).alias("v3"), E.quantile(F.col("v"), 0.5).alias("q"), E.quantile(F.col("v"), 2).alias("bad"), E.n_unique(F.col("v")).alias("nu"),
     ).first()
     assert tuple(r) == (10.0, "b", "a", 3, 1, None, 4.0, None, 2)
+
+
+def test_lists_sorted_by_another_column(spark):
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, None, 3), (1, "n", None)], "k long, v string, o long")
+    r = df.groupBy("k").agg(E.sort_by(F.col("v"), F.col("o")).alias("up"), E.sort_by(F.col("v"), F.col("o"), True).alias("down")).first()
+    assert r["up"] == ["a", "b", None, "n"] and r["down"] == [None, "b", "a", "n"]
+
+
+def test_types():
+    from pyspark.sql.types import ArrayType, BooleanType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, NullType, ShortType, StringType, TimestampNTZType
+
+    assert T.super_type(ShortType(), LongType()) == LongType() and T.super_type(LongType(), FloatType()) == DoubleType() and T.super_type(ShortType(), FloatType()) == FloatType()
+    assert T.super_type(DecimalType(10, 2), IntegerType()) == DecimalType(12, 2) and T.super_type(DecimalType(10, 2), FloatType()) == DoubleType()
+    assert T.super_type(DateType(), TimestampNTZType()) == TimestampNTZType() and T.super_type(BooleanType(), StringType()) == StringType()
+    assert T.super_type(NullType(), DateType()) == DateType() and T.super_type(BooleanType(), LongType()) is None and T.super_type(ArrayType(LongType()), StringType()) is None
+    assert T.can_cast(StringType(), LongType()) and T.can_cast(DateType(), TimestampNTZType()) and not T.can_cast(DateType(), LongType()) and not T.can_cast(ArrayType(LongType()), LongType())
+    assert T.is_integer(DecimalType(20, 0)) and not T.is_integer(DoubleType()) and T.is_temporal(DateType()) and T.is_nested(ArrayType(LongType())) and T.is_float(FloatType()) and T.is_numeric(LongType())
