@@ -17,22 +17,27 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import Ordered, Rank, between
 
-#: Rows of a chunk, buckets of the order key, and rows sampled for their boundaries.
-CHUNK, BUCKETS, SAMPLED = 1_000_000, 256, 4096
+#: Rows of a chunk, buckets of the order key, rows sampled for their boundaries, and parts of the rows of a hot key.
+CHUNK, BUCKETS, SAMPLED, PARTS = 1_000_000, 256, 4096, 16
 
 RN = "__rn"
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str = RN, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with each row's number, from 1, in the given order (nulls last); ties are numbered in any order."""
+    """``df`` with each row's number, from 1, in the given order (nulls last); ties are numbered in any order.
+
+    A value that fills whole buckets of the sample is hot: if it is the whole
+    order key, its rows are dealt out further, as their order is free.
+    """
     key = order[0]
-    plain = df.select(key.alias("k")) if not _is_sort(key) else None
-    if plain is None:
+    if any(x in str(key) for x in (" ASC", " DESC")):
         raise ValueError("the order key is a column; its direction is ascending")
-    sample = [r["k"] for r in plain.filter("k is not null").orderBy(F.rand(7)).limit(SAMPLED).collect()]
+    sample = [r["k"] for r in df.select(key.alias("k")).filter("k is not null").orderBy(F.rand(7)).limit(SAMPLED).collect()]
     sample.sort()
     step = max(1, len(sample) // buckets)
-    bounds = sorted(set(sample[step::step]))
+    cuts = sample[step::step]
+    bounds = sorted(set(cuts))
+    hot = [b for b in bounds if cuts.count(b) > 1] if len(order) == 1 else []
     out = df.withColumn("__key", key)
     if bounds:
         kind = out.schema["__key"].dataType
@@ -40,17 +45,17 @@ def number_rows(df: DataFrame, order: list[Column], name: str = RN, buckets: int
         out = out.withColumn("__bucket", F.when(F.col("__key").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(limits, lambda b: b <= F.col("__key")))))
     else:
         out = out.withColumn("__bucket", F.when(F.col("__key").isNull(), 1).otherwise(0))
+    if hot:
+        # A hot value is a boundary, so its rows come first in their bucket.
+        part = F.when(F.col("__key").isin(hot), F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))).otherwise(PARTS)
+        out = out.withColumn("__bucket", F.col("__bucket") * (PARTS + 1) + part)
     sizes = out.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     local = F.row_number().over(Window.partitionBy("__bucket").orderBy(*[F.asc_nulls_last(c) for c in order]))
-    # At most buckets + 2 rows on the right.
+    # At most (buckets + 2) * (PARTS + 1) rows on the right.
     return out.withColumn("__local", local).join(F.broadcast(starts), "__bucket").withColumn(name, F.col("__start") + F.col("__local")).drop("__bucket", "__key", "__local", "__start")
 
 
-def _is_sort(c: Column) -> bool:
-    return any(x in str(c) for x in (" ASC", " DESC"))
-
-
 def evaluate(df: DataFrame, order: list[Column], exprs: dict[str, Ordered], chunk: int = CHUNK) -> DataFrame:
     """``df`` with the expressions as columns; those of one name replace the column of that name at the end."""
     final = {name: f"__out{i}" for i, name in enumerate(exprs)}

@@ -250,8 +250,8 @@ def test_ranks_with_ties(spark):
 
 
 def test_numbers_of_hot_and_null_keys(spark):
-    df = spark.createDataFrame([(k,) for k in [5] * 50 + [None] * 3 + list(range(20))], "k long")
-    out = number_rows(df, [col("k")], buckets=4).orderBy("__rn").collect()
+    df = spark.createDataFrame([(k, i) for i, k in enumerate([5] * 50 + [None] * 3 + list(range(20)))], "k long, i long")
+    out = number_rows(df, [col("k")], buckets=8).orderBy("__rn").collect()
     assert [r["__rn"] for r in out] == list(range(1, 74)) and [r["k"] for r in out] == sorted([5] * 50 + list(range(20))) + [None] * 3
 
 
