@@ -115,8 +115,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     d = d.withColumn("n_words", F.size("tokens").cast("long")).drop("tokens")
     # The file's rarest licence words, as (rank, word).
     rarest = f"slice(array_sort(array_distinct(transform(filter(hits, h -> h.w in ({_list(indexed)})), h -> struct(element_at({ranks}, h.w) as k, h.w as w)))), 1, {LOOKED_UP})"
-    d = d.withColumn("rare", F.expr(f"transform({rarest}, r -> r.w)"))
-    votes = f"array_sort(flatten(transform(filter(hits, h -> array_contains(rare, h.w)), h -> transform(element_at({posted}, h.w), p -> struct(p.t as t, h.i - p.p as d)))))"
+    found = f"transform(element_at({posted}, h.w), p -> struct(p.t as t, h.i - p.p as d))"
+    # The rarest words are bound as a value, so that they aren't looked for again at each hit.
+    votes = f"element_at(transform(array(transform({rarest}, r -> r.w)), rare -> array_sort(flatten(transform(filter(hits, h -> array_contains(rare, h.w)), h -> {found})))), 1)"
     d = d.withColumn("votes", F.expr(votes)).drop("hits")
     starts = "transform(filter(transform(votes, (v, k) -> if(coalesce(get(votes, k - 1) = v, false), -1, k)), k -> k >= 0), k -> k)"
     d = d.withColumn("starts", F.expr(starts))
