@@ -35,6 +35,8 @@ from .common import map_arrow, text_of
 TRAIN_DOCS = 1500
 #: Words of a training sequence, and sequences without a toxic word for each one with some.
 PIECE, CLEAN_PIECES = 64, 3
+#: Training sequences whose gradient is computed at once.
+BATCH = 1024
 #: Weights of hashed features.
 BITS = 18
 #: How unlikely by chance a feature's contexts must be, and how many toxic ones outweigh a clean one.
@@ -67,7 +69,27 @@ def neighbour_features(side: str, w: str) -> list[int]:
     return [_slot(side, w), _slot(side + "p4", w[:4])]
 
 
-def token_cues(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
+class Corpus:
+    """Labelled documents as arrays of word numbers, so that a word is held once."""
+
+    def __init__(self, docs: list[str], toxic: np.ndarray):
+        number: dict[str, int] = {}
+        self.docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in docs]
+        self.words, self.toxic = list(number), toxic
+
+    def contexts(self, toxic: bool) -> np.ndarray:
+        """Of each word, the number of different contexts (its neighbours) in documents of a label."""
+        n = len(self.words) + 1
+        keys = []
+        for ids, t in zip(self.docs, self.toxic, strict=True):
+            if t == toxic and len(ids):
+                padded = np.r_[n - 1, ids, n - 1]
+                keys.append((padded[1:-1] * n + padded[:-2]) * n + padded[2:])
+        found = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+        return np.bincount(found // (n * n), minlength=n)[:-1]
+
+
+def token_cues(corpus: Corpus) -> set[str]:
     """Features ("=word" or "^first letters") that occur in toxic documents and hardly ever in clean ones.
 
     What is counted are different contexts (the word with both neighbours), so
@@ -75,19 +97,13 @@ def token_cues(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
     if chance would put all of its contexts into toxic documents with a
     probability below exp(-EVIDENCE), and at most a PENALTY-th are clean.
     """
-    seen: list[set[tuple[str, str, str]]] = [set(), set()]
-    for ws, t in zip(docs, toxic, strict=True):
-        seen[int(t)].update(zip(ws, ["", *ws[:-1]], [*ws[1:], ""], strict=True))
-
-    def count(contexts: set) -> Counter:
-        out: Counter = Counter()
-        for w, n in Counter(c[0] for c in contexts).items():
-            for cue in {f"={w}", *(f"^{w[:k]}" for k in (4, 5) if len(w) >= k)}:
-                out[cue] += n
-        return out
-
-    clean, bad = count(seen[0]), count(seen[1])
-    surprise = -np.log(len(seen[1]) / max(1, len(seen[0]) + len(seen[1])))
+    counts = [corpus.contexts(False), corpus.contexts(True)]
+    clean, bad = Counter(), Counter()
+    for w, a, b in zip(corpus.words, counts[0].tolist(), counts[1].tolist(), strict=True):
+        for cue in {f"={w}", *(f"^{w[:k]}" for k in (4, 5) if len(w) >= k)}:
+            clean[cue] += a
+            bad[cue] += b
+    surprise = -np.log(counts[1].sum() / max(1, counts[0].sum() + counts[1].sum()))
     found = {c for c, n in bad.items() if n * surprise >= EVIDENCE and clean[c] * PENALTY <= n}
     # First letters that stand for one word only say no more than the word, and might catch others.
     for w in [c[1:] for c in found if c[0] == "="]:
@@ -107,30 +123,38 @@ class Chain:
         self.t = np.zeros((2, 2))
         self.start = np.zeros(2)
 
-    def fit(self, feats: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = 60, rate: float = 0.15) -> None:
+    def fit(self, feats: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = 40, rate: float = 0.2) -> None:
         """feats: (sequences, words, features) slots; y, mask: (sequences, words). Full-batch Adam on the likelihood."""
         m = [np.zeros_like(self.w), np.zeros((2, 2)), np.zeros(2)]
         v = [np.zeros_like(self.w), np.zeros((2, 2)), np.zeros(2)]
         n = max(1, len(y))
-        flat = feats[mask].ravel()
-        width = feats.shape[2]
-        pair_mask = mask[:, 1:] & mask[:, :-1]
-        seen_pairs = np.zeros((2, 2))
-        for i in (0, 1):
-            for j in (0, 1):
-                seen_pairs[i, j] = (pair_mask & (y[:, :-1] == i) & (y[:, 1:] == j)).sum()
-        seen_start = np.array([(y[:, 0] == 0).sum(), (y[:, 0] == 1).sum()], float)
         for step in range(1, rounds + 1):
-            s = np.zeros(y.shape)
-            s[mask] = self.w[flat].reshape(-1, width).sum(axis=1)
-            p, pairs, start = self._expect(s, mask, pair_mask)
-            g = np.bincount(flat, np.repeat((p - y)[mask], width), 1 << BITS)
-            grads = [(g / n + 1e-4 * self.w).astype(np.float32), (pairs - seen_pairs) / n + 1e-3 * self.t, (start - seen_start) / n + 1e-3 * self.start]
+            sums = [np.zeros(1 << BITS), np.zeros((2, 2)), np.zeros(2)]
+            for k in range(0, len(y), BATCH):
+                for total, part in zip(sums, self._gradient(feats[k : k + BATCH], y[k : k + BATCH], mask[k : k + BATCH]), strict=True):
+                    total += part
+            grads = [(sums[0] / n + 1e-4 * self.w).astype(np.float32), sums[1] / n + 1e-3 * self.t, sums[2] / n + 1e-3 * self.start]
             for k, (x, g) in enumerate(zip((self.w, self.t, self.start), grads, strict=True)):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 x -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(x.dtype)
 
+    def _gradient(self, feats: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected less observed counts of the features, transitions and starts of some sequences."""
+        flat, width = feats[mask], feats.shape[2]
+        pair_mask = mask[:, 1:] & mask[:, :-1]
+        s = np.zeros(y.shape)
+        s[mask] = self.w[flat].sum(axis=1)
+        p, pairs, start = self._expect(s, mask, pair_mask)
+        error = (p - y)[mask]
+        g = np.zeros(1 << BITS)
+        for k in range(width):
+            g += np.bincount(flat[:, k], error, 1 << BITS)
+        for i in (0, 1):
+            for j in (0, 1):
+                pairs[i, j] -= (pair_mask & (y[:, :-1] == i) & (y[:, 1:] == j)).sum()
+        return g, pairs, start - np.array([(y[:, 0] == 0).sum(), (y[:, 0] == 1).sum()])
+
     def _expect(self, s, mask, pair_mask):
         """Marginals of the toxic state, expected transitions and starts of padded sequences."""
         n, length = s.shape
@@ -199,34 +223,37 @@ def fit(docs: list[str], toxic: list[bool], seed: int = 7) -> Chain | None:
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return None
-    words = [words_of(t) for t in docs]
-    cues = token_cues(words, y)
+    corpus = Corpus(docs, y)
+    cues = token_cues(corpus)
+    tagged = np.array([has_cue(w, cues) for w in corpus.words], bool)
     rich, poor = [], []
-    for ws, t in zip(words, y, strict=True):
-        tags = [bool(t) and has_cue(w, cues) for w in ws]
-        for k in range(0, len(ws), PIECE):
-            part = (ws[k : k + PIECE], tags[k : k + PIECE])
+    for ids, t in zip(corpus.docs, y, strict=True):
+        for k in range(0, len(ids), PIECE):
+            part = ids[k : k + PIECE]
             # Pieces of toxic documents without a cue say nothing reliable, as their cue may be unknown.
-            if any(part[1]):
-                rich.append(part)
-            elif not t:
+            if not t:
                 poor.append(part)
+            elif tagged[part].any():
+                rich.append(part)
     if not rich:
         return None
     pick = np.random.default_rng(seed).permutation(len(poor))[: CLEAN_PIECES * len(rich)]
     pieces = rich + [poor[i] for i in pick]
-    known: dict[str, tuple] = {}
-    feats = np.zeros((len(pieces), PIECE, 10), np.int32)
+    used = np.unique(np.concatenate(pieces))
+    slots = np.zeros((len(corpus.words), 10), np.int32)
+    for i in used.tolist():
+        w = corpus.words[i]
+        slots[i] = own_features(w) + neighbour_features("l", w) + neighbour_features("r", w)
+    none = _slot("none", "")
+    feats = np.full((len(pieces), PIECE, 10), none, np.int32)
     tags, mask = np.zeros((len(pieces), PIECE), np.int8), np.zeros((len(pieces), PIECE), bool)
-    none = [_slot("none", "")] * 2
-    for r, (ws, ts) in enumerate(pieces):
-        for w in ws:
-            if w not in known:
-                known[w] = (own_features(w), neighbour_features("l", w), neighbour_features("r", w))
-        for i, w in enumerate(ws):
-            feats[r, i] = known[w][0] + (known[ws[i - 1]][1] if i else none) + (known[ws[i + 1]][2] if i + 1 < len(ws) else none)
-        tags[r, : len(ts)] = ts
-        mask[r, : len(ws)] = True
+    for r, part in enumerate(pieces):
+        n = len(part)
+        feats[r, :n, :6] = slots[part, :6]
+        feats[r, 1:n, 6:8] = slots[part[:-1], 6:8]
+        feats[r, : n - 1, 8:] = slots[part[1:], 8:]
+        tags[r, :n] = tagged[part] if r < len(rich) else 0
+        mask[r, :n] = True
     chain = Chain()
     chain.fit(feats, tags, mask)
     return chain
