@@ -102,25 +102,38 @@ class Pair:
             kinds = np.add.reduceat((counts > 0).astype(np.int64), cut, axis=1) if len(cut) else np.zeros((2, 0))
             self.contexts.append((context[cut], total, kinds))
         self.vocabulary = max(1, len(table[0][0]))
+        #: Losses of all grams of the full length, of which each text's are looked up.
+        self.known = self._losses(table[-1][0])
 
-    def losses(self, text: str) -> np.ndarray:
-        """Loss of each character, (2, characters): of the target and of the background."""
-        found = grams(text)
-        p = np.full((2, len(text)), 1.0 / self.vocabulary)
+    def _losses(self, full: np.ndarray) -> np.ndarray:
+        """(2, grams): loss of the last character of each full gram, of the target and of the background."""
+        p = np.full((2, len(full)), 1.0 / self.vocabulary)
         for n in range(ORDER):
             keys, counts = self.grams[n]
             contexts, total, kinds = self.contexts[n]
             if not len(keys):
                 continue
-            at = np.minimum(np.searchsorted(keys, found[n]), len(keys) - 1)
-            c = np.where(keys[at] == found[n], counts[:, at], 0)
-            context = found[n] >> 21
-            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            known = contexts[at] == context
+            gram = full & ((1 << (21 * (n + 1))) - 1)
+            at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+            c = np.where(keys[at] == gram, counts[:, at], 0)
+            at = np.minimum(np.searchsorted(contexts, gram >> 21), len(contexts) - 1)
+            known = contexts[at] == gram >> 21
             t, k = np.where(known, total[:, at], 0), np.where(known, kinds[:, at], 0)
             p = np.where(t > 0, (c + k * p) / np.maximum(t + k, 1), p)
         return -np.log(p)
 
+    def losses(self, text: str) -> np.ndarray:
+        """Loss of each character, (2, characters)."""
+        full, keys = grams(text)[-1], self.grams[-1][0]
+        if not len(keys):
+            return self._losses(full)
+        at = np.minimum(np.searchsorted(keys, full), len(keys) - 1)
+        out = self.known[:, at]
+        new = np.flatnonzero(keys[at] != full)
+        if len(new):
+            out[:, new] = self._losses(full[new])
+        return out
+
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_tokens``, ``target_loss``, ``background_loss`` (means) and ``score`` of every document."""
