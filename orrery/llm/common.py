@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A side with at most this many rows of a few numbers each (some tens of MB) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
-_tables: list[tuple[SparkSession, str]] = []
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +33,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _tables[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
 
 
-def release() -> None:
-    """Delete the tables that :func:`materialize` wrote; results that read them must be consumed before."""
-    while _tables:
-        spark, path = _tables.pop()
+def tables() -> set[str]:
+    """The paths of the tables that exist, for :func:`release`."""
+    return set(_tables)
+
+
+def release(keep: set[str] = frozenset()) -> None:
+    """Delete the tables that :func:`materialize` wrote, but those to keep; no result to come may read them."""
+    for path in [p for p in _tables if p not in keep]:
+        spark = _tables.pop(path)
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

@@ -16,9 +16,10 @@ blocks that only empty ones might agree also meets others of its kind by these.
 Within a cell an R-tree is packed over the points and searched. A cell of more
 than ``CELL`` documents is dealt out as pairs of parts.
 
-A first search emits only a spanning forest of each cell's surviving pairs; a
-second emits all surviving pairs whose ends are still in different components.
-So no link between different components is lost and copies aren't expanded.
+A first search finds a spanning forest of each cell's surviving pairs, of which
+each document tries one; a second emits all surviving pairs whose ends are
+still in different components, from the cells that hold such. So no link
+between different components is lost and copies aren't expanded.
 
 Defined cases. Null and empty texts have no shingles and link with nothing; a
 text with fewer words than a shingle is one shingle. A row without id has a null
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, small, text_of
+from .common import map_arrow, materialize, release, small, tables, text_of
 from .graph import connected_components
 
 #: Coordinates of a point.
@@ -45,6 +46,8 @@ GROUPS = 256
 LEAF = 64
 #: Documents of a cell that one task searches against as many others.
 CELL = 2048
+#: Documents whose sets one task compares with a document, or with as many others.
+BLOCK = 64
 #: Keys of a document by which a pair that meets in several cells is emitted in one of them.
 FIRST = 16
 #: Words whose hashes a worker remembers.
@@ -252,6 +255,8 @@ def search(cells: DataFrame, percent: int, every: bool) -> DataFrame:
         a, b = [], []
         for cell in _cells(batches):
             label = np.array(cell["label"])
+            order = np.argsort(cell["id"], kind="stable").tolist()
+            cell, label = {k: [v[i] for i in order] for k, v in cell.items()}, label[order]
             if len(label) < 2 or (label == label[0]).all():
                 continue
             may = RTree(points_of(cell["point"]), np.array(cell["n"]), percent).adjacency()
@@ -272,32 +277,71 @@ def search(cells: DataFrame, percent: int, every: bool) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long").filter("a < b").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose shingle sets reach the threshold; docs has id and t."""
-
-    def run(batches):
+def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, meshed: bool = False) -> DataFrame:
+    """The pairs whose shingle sets reach the threshold; docs has id and t.
+
+    Pairs are dealt to tasks so that a set is sent to few of them. As a rule,
+    pairs meet at their smaller id, ``BLOCK`` partners at a time. ``meshed`` pairs,
+    many among the same documents, meet by component: its documents are cut
+    into blocks of about ``BLOCK``, and a task gets the sets of two blocks.
+    """
+    if meshed:
+        labels = small(materialize(connected_components(pairs), "mesh"))
+        sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        of = pairs.join(labels.withColumnRenamed("id", "a"), "a").join(small(sizes), "label")
+        x, y = (F.pmod(F.xxhash64(c), F.col("parts")) for c in ("a", "b"))
+        dealt = of.select("a", "b", F.col("label").alias("task"), F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    else:
+        degrees = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        dealt = pairs.join(small(degrees), "a").select("a", "b", F.col("a").alias("task"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("x"), F.lit(0).cast("long").alias("y"))
+    dealt = materialize(dealt, "dealt")
+    task = ["task", "x", "y"]
+
+    def sets(batches):
         hashes = Hashes()
         for batch in batches:
-            out = [shingles(t, width, hashes).astype(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "s"])
+            out = [shingles(t, width, hashes).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "s"])
 
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = map_arrow(docs.join(small(ids), "id", "left_semi"), run, "id long, s array<long>")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.withColumn("o", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(f"100 * o >= {percent} * (size(sa) + size(sb) - o)").select("a", "b").distinct()
+    def compare(batches):
+        now, held = None, {}
+        for batch in batches:
+            a, b = [], []
+            for *key, first, second, s in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if key != now:
+                    now, held = key, {}
+                if second is None:  # more than one set if rows of different texts share the id
+                    held.setdefault(first, []).append(np.frombuffer(s, np.uint64))
+                    continue
+                for h in held.get(first, ()):
+                    for g in held.get(second, ()):
+                        both = len(np.intersect1d(h, g, assume_unique=True))
+                        if 100 * both >= percent * (len(h) + len(g) - both):
+                            a.append(first)
+                            b.append(second)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    needed = materialize(dealt.select(*task, F.col("a").alias("id")).union(dealt.select(*task, "b")).distinct(), "needed")
+    ids = small(needed.select("id").distinct())
+    found = map_arrow(docs.join(ids, "id", "left_semi"), sets, "id long, s binary").join(small(needed), "id")
+    rows = found.select(*task, F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "s").union(dealt.select(*task, "a", "b", F.lit(None).cast("binary")))
+    met = rows.repartition(*task).sortWithinPartitions(*task, F.asc_nulls_first("b"))
+    return map_arrow(met, compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_shingles`` and ``component_id`` (the smallest id reachable by links, its own included) of every row."""
+    before = tables()
     table = materialize(sketch(df, width, percent, id_col, text_col), "sketch")
     sized = table.filter("n > 0 and id is not null")
     same = sized.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").drop("last")
     same = materialize(same, "same")
-    of = table.select("id", "n", "f1", "f2").join(same, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    of = table.select("id", "n", "f1", "f2").join(small(same), ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     of = materialize(of, "nodes")
     copies = of.filter("rep <> id").select("id").distinct()
-    nodes = sized.join(small(copies), "id", "left_anti").dropDuplicates(["id", "f1", "f2"])
+    nodes = sized.join(small(copies), "id", "left_anti")
+    if not sized.groupBy("id", "f1", "f2").count().filter("count > 1").isEmpty():
+        nodes = nodes.dropDuplicates(["id", "f1", "f2"])
 
     entries = nodes.select("id", F.explode("keys").alias("key"))
     met = entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1")
@@ -312,22 +356,29 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     cells = materialize(cells, "cells")
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_of(df, text_col).alias("t"))
 
-    pairs = materialize(search(cells.withColumn("label", F.col("id")), percent, every=False), "pairs")
+    # Of the pairs that a document is the larger end of, one is tried first; as a rule it links the document.
+    first = search(cells.withColumn("label", F.col("id")), percent, every=False).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    pairs = materialize(first, "pairs")
     links = materialize(verify(pairs, docs, width, percent), "links")
     labels = materialize(connected_components(links), "labels")
-    labelled = cells.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rest = materialize(search(labelled, percent, every=True).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    labelled = cells.join(small(labels), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = labelled.groupBy("key", "part").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key", "part")
+    open_cells = labelled.join(small(materialize(mixed, "mixed")), ["key", "part"], "left_semi")
+    rest = materialize(search(open_cells, percent, every=True).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        more = materialize(verify(rest, docs, width, percent), "links")
+        more = materialize(verify(rest, docs, width, percent, meshed=True), "links")
         if not more.isEmpty():
             labels = materialize(connected_components(links.union(more)), "labels")
-    out = of.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    out = of.join(small(labels.select(F.col("id").alias("rep"), "label")), "rep", "left")
+    release(keep=before | {of._table, labels._table})
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
 
 
 def keep_one(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, with one document, that of the smallest id, of each component."""
+    before = tables()
     found = materialize(near_duplicates(df, width, percent, id_col, text_col), "components")
+    release(keep=before | {found._table})
     gone = found.filter(f"`{id_col}` <> component_id").select(id_col).distinct()
     out = df.join(small(gone), id_col, "left_anti").select(df.columns)
     twice = found.filter(f"`{id_col}` is not null").groupBy(id_col).count().filter("count > 1")
