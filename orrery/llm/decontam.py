@@ -19,24 +19,27 @@ Input columns besides id and text aren't read.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import bisect
+import string
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_of
+from .common import map_arrow, materialize, release, small, tables, text_of
 
 #: Words of a passage.
 PASSAGE = 48
 #: Words of sliding passages; an item is searched with the longest that it fills, and with the shortest otherwise.
 SLIDING = (12, 24, 48)
 #: Rank of the latent space, and columns by which the sketch is wider.
-RANK, EXTRA = 96, 16
+RANK, EXTRA = 80, 8
+#: Share of an item's terms, for its part that a passage can hold, that a passage must have.
+DENSE = 0.45
 #: Cosine from which a passage and an item are candidates.
-COSINE = 0.4
+COSINE = 0.55
 #: Share of the item in the common subsequence: certain, and enough if the answer is there too.
 CERTAIN, PARTIAL = 0.75, 0.5
 #: Share of the item that is its answer, and of the answer that must be found.
@@ -50,16 +53,17 @@ ITEMS = 20_000
 #: Words of a document that are held at once.
 SLICE = 200_000
 
-_WORD = re.compile(r"[^\W_]+")
+_SPACED = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words_of(text: str) -> list[bytes]:
+    """Lower-case words between white space and ASCII punctuation, in UTF-8."""
+    return text.lower().encode("utf-8", "replace").translate(_SPACED).split()
 
 
-def lcs_mask(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, with one machine-word row per element of ``b``."""
-    at: dict[str, int] = {}
+def lcs_mask(a: list, b: list) -> int:
+    """Length of the longest common subsequence, by bits of one number for all of ``a``."""
+    at: dict = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -72,8 +76,8 @@ def lcs_mask(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def matches(item: list[str], rare: set[str], region: list[str]) -> float:
-    """How much of the item the region holds, if it counts as leaked, else 0."""
+def matches(item: list[int], rare: set[int], region: list[int]) -> float:
+    """How much of the item (of term numbers) the region holds, if it counts as leaked, else 0."""
     have = set(region)
     need = [w for w in item if w in rare]
     if need and sum(w in have for w in need) < PARTIAL * len(need):
@@ -88,44 +92,66 @@ def matches(item: list[str], rare: set[str], region: list[str]) -> float:
 class Terms:
     """The terms of the benchmark, by word, with their weights."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[bytes]):
         self.at = {w: i for i, w in enumerate(words)}
         self.idf = np.ones(len(words), np.float32)
 
-    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the words that are terms, and which terms they are."""
-        ids = np.fromiter(map(self.at.get, words, [-1] * len(words)), np.int32, len(words))
-        at = np.flatnonzero(ids >= 0)
+        ids = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
+        at = np.flatnonzero(ids >= 0).astype(np.int32)
         return at, ids[at]
 
 
-def _slices(words: list[str]) -> Iterator[tuple[int, list[str]]]:
-    for k in range(0, max(1, len(words)), SLICE):
-        yield k, words[k : k + SLICE + 2 * PASSAGE]
+def term_places(src: DataFrame, terms: Terms) -> DataFrame:
+    """row, id, part, at and term: the places of the benchmark's terms, of each document or, if long, of its slices.
 
+    Texts are read and cut into words once; all later passes read these numbers.
+    Slices overlap by two passages.
+    """
+    shared = src.sparkSession.sparkContext.broadcast(terms)
 
-def _texts(batch) -> Iterator[tuple[int, list[str]]]:
-    for row, text in enumerate(batch.column(1).to_pylist()):
-        yield row, words_of(text)
+    def run(batches):
+        t = shared.value
+        kinds = [pa.int64(), None, pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        for batch in batches:
+            kinds[1] = batch.column(1).type
+            rows: list[list] = [[], [], [], [], []]
+            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for (row, key), text in zip(ids, batch.column(2), strict=True):
+                ws = words_of(text.as_py())
+                for part, k in enumerate(range(0, max(1, len(ws)), SLICE)):
+                    for column, x in zip(rows, (row, key, part, *t.find(ws[k : k + SLICE + 2 * PASSAGE])), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["row", "id", "part", "at", "term"])
 
+    kind = dict(src.dtypes)["id"]
+    marked = src.select(F.monotonically_increasing_id().alias("row"), "id", "t")
+    return materialize(map_arrow(marked, run, f"row long, id {kind}, part int, at array<int>, term array<int>"), "terms")
 
-def document_frequency(src: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
-    """Of each term, and the number of documents; tasks count for themselves and send a row for each term they met."""
-    shared = src.sparkSession.sparkContext.broadcast(terms)
+
+def _arrays(column) -> list[np.ndarray]:
+    """The rows of a list column as arrays, without copies."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def document_frequency(places: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
+    """Of each term, and the number of documents (slices of a very long one count each); a task sends a row for each term it met."""
+    m = len(terms.at)
 
     def run(batches):
-        t = shared.value
-        df, n = np.zeros(len(t.at), np.int64), 0
+        df, n = np.zeros(m, np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for _, ws in _texts(batch):
-                df[np.unique(t.find(ws)[1])] += 1
+            for ids in _arrays(batch.column(0)):
+                df[np.unique(ids)] += 1
         met = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*met.tolist(), -1], pa.int32()), pa.array([*df[met].tolist(), n], pa.int64())], ["term", "n"])
 
-    out = np.zeros(len(terms.at), np.int64)
+    out = np.zeros(m, np.int64)
     total = 0
-    for term, n in map_arrow(src, run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
+    for term, n in map_arrow(places.select("term"), run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
         if term < 0:
             total = n
         else:
@@ -133,9 +159,9 @@ def document_frequency(src: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def _weighted(terms: Terms, ids: np.ndarray, part: np.ndarray) -> np.ndarray:
+def _weighted(idf: np.ndarray, ids: np.ndarray, part: np.ndarray) -> np.ndarray:
     """TF-IDF weight of each occurrence, so that each passage has length 1 (part: its passage, ascending)."""
-    w = terms.idf[ids]
+    w = idf[ids]
     if not len(w):
         return w
     # Occurrences of one term in a passage add up before squaring.
@@ -146,17 +172,17 @@ def _weighted(terms: Terms, ids: np.ndarray, part: np.ndarray) -> np.ndarray:
     return w / np.maximum(norm[part], 1e-9)
 
 
-def latent_space(src: DataFrame, terms: Terms, items: list[list[str]], seed: int = 11) -> np.ndarray:
+def latent_space(places: DataFrame, terms: Terms, items: list[list[int]], seed: int = 11) -> np.ndarray:
     """Terms by ranks: the leading right singular vectors of the passages' TF-IDF matrix."""
     width = RANK + EXTRA
     random = np.random.default_rng(seed).standard_normal((len(terms.at), width)).astype(np.float32)
-    shared = src.sparkSession.sparkContext.broadcast((terms, random))
+    shared = places.sparkSession.sparkContext.broadcast((terms.idf, random))
 
-    def sketch(t: Terms, r: np.ndarray, y: np.ndarray, ids: np.ndarray, part: np.ndarray) -> None:
+    def sketch(idf: np.ndarray, r: np.ndarray, y: np.ndarray, ids: np.ndarray, part: np.ndarray) -> None:
         if not len(ids):
             return
         _, part = np.unique(part, return_inverse=True)
-        w = _weighted(t, ids, part)
+        w = _weighted(idf, ids, part)
         x = r[ids] * w[:, None]
         starts = np.flatnonzero(np.r_[True, np.diff(part) != 0])
         z = np.add.reduceat(x, starts, axis=0)
@@ -166,22 +192,21 @@ def latent_space(src: DataFrame, terms: Terms, items: list[list[str]], seed: int
         y[ids[order][cut]] += np.add.reduceat(back[order], cut, axis=0)
 
     def run(batches):
-        t, r = shared.value
-        y = np.zeros((len(t.at), width), np.float32)
+        idf, r = shared.value
+        y = np.zeros((len(idf), width), np.float32)
         for batch in batches:
             held: list[tuple[np.ndarray, np.ndarray]] = []
             passages = size = 0
-            for _, ws in _texts(batch):
-                at, ids = t.find(ws)
-                use = t.idf[ids] > 0
+            for at, ids in zip(_arrays(batch.column(0)), _arrays(batch.column(1)), strict=True):
+                use = idf[ids] > 0
                 held.append((ids[use], at[use] // PASSAGE + passages))
-                passages += len(ws) // PASSAGE + 1
+                passages += (int(at[-1]) if len(at) else 0) // PASSAGE + 1
                 size += len(held[-1][0])
-                if size > 50_000:
-                    sketch(t, r, y, *map(np.concatenate, zip(*held, strict=True)))
+                if size > 30_000:
+                    sketch(idf, r, y, *map(np.concatenate, zip(*held, strict=True)))
                     held, passages, size = [], 0, 0
             if held:
-                sketch(t, r, y, *map(np.concatenate, zip(*held, strict=True)))
+                sketch(idf, r, y, *map(np.concatenate, zip(*held, strict=True)))
         met = np.flatnonzero(y.any(axis=1))
         for part in np.array_split(met, len(met) // 2000 + 1):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([x.tobytes() for x in y[part]], pa.binary())], ["term", "y"])
@@ -196,12 +221,12 @@ def latent_space(src: DataFrame, terms: Terms, items: list[list[str]], seed: int
 
     kind = "term int, y binary"
     y = np.zeros((len(terms.at), width), np.float32)
-    for term, x in map_arrow(map_arrow(src, run, kind).repartition("term"), add, kind).collect():
+    for term, x in map_arrow(map_arrow(places.select("at", "term"), run, kind).repartition("term"), add, kind).collect():
         y[term] = np.frombuffer(x, np.float32)
     for k, item in enumerate(items):
-        at, ids = terms.find(item)
+        ids = np.array(item, np.int32)
         use = terms.idf[ids] > 0
-        sketch(terms, random, y, ids[use], at[use] // PASSAGE + k)
+        sketch(terms.idf, random, y, ids[use], np.flatnonzero(use) // PASSAGE + k)
     # From the sketch Y = A'A R to the singular vectors of A (Nystroem, with a shift for stability).
     shift = 1e-6 * max(1e-12, float(np.linalg.norm(y)))
     y = y.astype(np.float64) + shift * random
@@ -213,89 +238,114 @@ def latent_space(src: DataFrame, terms: Terms, items: list[list[str]], seed: int
     return u[:, :RANK].astype(np.float32)
 
 
-def _search(src: DataFrame, terms: Terms, space: np.ndarray, items: dict[int, list[str]]) -> DataFrame:
-    """id and found (item, share) of every document."""
-    ids_of = list(items)
-    rare = [{w for w in items[i] if terms.idf[terms.at[w]] > 0} for i in ids_of]
+def _search(places: DataFrame, terms: Terms, space: np.ndarray, items: dict[int, list[int]]) -> DataFrame:
+    """row, id and found (item, share) of every document or slice."""
+    numbers, texts = list(items), list(items.values())
+    rare = [{w for w in x if terms.idf[w] > 0} for x in texts]
     weighted = (space * terms.idf[:, None]).astype(np.float32)
-    seen = np.zeros((len(ids_of), space.shape[1]), np.float32)
-    for k, i in enumerate(ids_of):
-        seen[k] = weighted[terms.find(items[i])[1]].sum(axis=0)
+    seen = np.stack([weighted[x].sum(axis=0) for x in texts])
     seen /= np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-9)
-    kind = dict(src.dtypes)["id"]
-    shared = src.sparkSession.sparkContext.broadcast((terms, weighted, seen, [items[i] for i in ids_of], rare, ids_of))
-
-    def candidates(t, weighted, seen, need, groups, ws):
+    of = np.array([max([n for n in SLIDING if n <= len(x)], default=SLIDING[0]) for x in texts])
+    # Terms that a passage over the item must have at least.
+    n_rare = np.array([sum(w in r for w in x) for x, r in zip(texts, rare, strict=True)])
+    need = np.maximum(1, np.floor(DENSE * n_rare * np.minimum(1, of / [len(x) for x in texts])))
+    groups = []
+    for n in SLIDING:
+        group = np.flatnonzero(of == n)
+        if len(group):
+            groups.append((n, group, need[group], np.ascontiguousarray(seen[group].T)))
+    kind = dict(places.dtypes)["id"]
+    shared = places.sparkSession.sparkContext.broadcast((terms.idf, weighted, groups, texts, rare, numbers))
+
+    def candidates(at, ids, idf, weighted, groups):
         """(item, first word of a passage, its words) where the cosine is high enough."""
-        at, ids = t.find(ws)
-        use = t.idf[ids] > 0
+        use = idf[ids] > 0
         at, ids = at[use], ids[use]
         if not len(at):
             return
-        sums = np.concatenate([np.zeros((1, weighted.shape[1])), np.cumsum(weighted[ids], axis=0, dtype=np.float64)])
-        for length, group in groups:
-            begin = np.arange(0, max(1, len(ws) - length + length // 4), length // 4)
+        sums = None
+        for length, group, need, seen in groups:
+            step = length // 2
+            begin = np.arange(max(0, int(at[0]) // step - 1) * step, int(at[-1]) + 1, step)
             low, high = np.searchsorted(at, begin), np.searchsorted(at, begin + length)
-            begin, low, high = (x[high - low >= need[group].min()] for x in (begin, low, high))
+            dense = high - low >= need.min()
+            if not dense.any():
+                continue
+            begin, low, high = begin[dense], low[dense], high[dense]
+            if sums is None:
+                sums = np.zeros((len(ids) + 1, weighted.shape[1]), np.float32)
+                np.cumsum(weighted[ids], axis=0, out=sums[1:])
             for k in range(0, len(begin), 4096):
                 lo, hi = low[k : k + 4096], high[k : k + 4096]
-                x = (sums[hi] - sums[lo]).astype(np.float32)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                p, q = np.nonzero((x @ seen[group].T >= COSINE) & ((hi - lo)[:, None] >= need[group][None, :]))
+                x = sums[hi] - sums[lo]
+                x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+                p, q = np.divmod(np.flatnonzero((x @ seen).ravel() >= COSINE), len(group))
+                enough = (hi - lo)[p] >= need[q]
+                p, q = p[enough], q[enough]
                 yield from zip(group[q].tolist(), begin[k + p].tolist(), [length] * len(p), strict=True)
 
     def run(batches):
-        t, weighted, seen, texts, rare, ids_of = shared.value
-        # A passage that holds half of an item has at least so many of its terms.
-        need = np.array([max(1, min(4, len(r) // 4)) for r in rare])
-        of = np.array([max([n for n in SLIDING if n <= len(x)], default=SLIDING[0]) for x in texts])
-        groups = [(n, np.flatnonzero(of == n)) for n in SLIDING if (of == n).any()]
+        idf, weighted, groups, texts, rare, numbers = shared.value
+        gap = 4 * max(SLIDING[-1], *map(len, texts))
         for batch in batches:
-            out = []
-            for _, ws in _texts(batch):
-                best: dict[int, float] = {}
-                for _, part in _slices(ws):
-                    for q, b, length in candidates(t, weighted, seen, need, groups, part):
-                        if best.get(q, 0) < CERTAIN:
-                            pad = max(length // 2, len(texts[q]) - length // 2)
-                            share = matches(texts[q], rare[q], part[max(0, b - pad) : b + length + pad])
-                            if share > best.get(q, 0):
-                                best[q] = share
-                out.append([{"item": ids_of[q], "share": s} for q, s in sorted(best.items())])
+            places, terms = _arrays(batch.column(2)), _arrays(batch.column(3))
+            best: list[dict[int, float]] = [{} for _ in places]
+            k = 0
+            while k < len(places):
+                # Documents stand one after another on one line of places, so far apart that no passage spans two.
+                bases, line, end, size = [], [], 0, 0
+                first = k
+                while k < len(places) and size < 50_000:
+                    bases.append(end)
+                    line.append(places[k].astype(np.int64) + end)
+                    end += (int(places[k][-1]) if len(places[k]) else 0) + gap
+                    size += len(places[k])
+                    k += 1
+                at, ids = np.concatenate(line), np.concatenate(terms[first:k])
+                for q, b, length in candidates(at, ids, idf, weighted, groups):
+                    # The passage's document is that of its last place.
+                    known = best[first + bisect.bisect_right(bases, at[np.searchsorted(at, b + length) - 1]) - 1]
+                    if known.get(q, 0) < CERTAIN:
+                        pad = max(length // 2, len(texts[q]) - length // 2)
+                        lo, hi = np.searchsorted(at, (b - pad, b + length + pad))
+                        share = matches(texts[q], rare[q], ids[lo:hi].tolist())
+                        if share > known.get(q, 0):
+                            known[q] = share
+            out = [[{"item": numbers[q], "share": s} for q, s in sorted(x.items())] for x in best]
             found = pa.array(out, pa.list_(pa.struct([("item", pa.int64()), ("share", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["row", "id", "found"])
 
-    return map_arrow(src, run, f"id {kind}, found array<struct<item:bigint,share:double>>")
+    return map_arrow(places.select("row", "id", "at", "term"), run, f"row long, id {kind}, found array<struct<item:bigint,share:double>>")
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``items`` (the benchmark items found, ascending), ``share`` (the largest) and ``contaminated`` of every document."""
     src = df.select(F.col(id_col).alias("id"), text_of(df, text_col).alias("t"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item"), text_of(benchmark).alias("t")).filter("item is not null")
-    out = None
-    total = bench.count()
-    for k in range(0, max(1, total), ITEMS):
+    total, out = bench.count(), None
+    for k in range(0, total, ITEMS):
         # The stated query set against all documents, a block of items at a time.
         rows = bench.orderBy("item", "t").offset(k).limit(ITEMS).collect()
-        items: dict[int, list[str]] = {}
-        for r in rows:
-            if ws := words_of(r["t"]):
-                items[r["item"]] = ws
-        if not items:
-            found = src.select("id", F.expr("cast(array() as array<struct<item:bigint,share:double>>)").alias("found"))
-        else:
-            terms = Terms(sorted({w for ws in items.values() for w in ws}))
-            df_of, n = document_frequency(src, terms)
-            idf = np.log((1 + n) / (1 + df_of)) + 0.1
-            idf[df_of > max(COMMON * n, FEW)] = 0
-            terms.idf = idf.astype(np.float32)
-            found = _search(src, terms, latent_space(src, terms, list(items.values())), items)
+        words = {r["item"]: ws for r in rows if (ws := words_of(r["t"]))}
+        if not words:
+            continue
+        terms = Terms(sorted({w for ws in words.values() for w in ws}))
+        items = {i: [terms.at[w] for w in ws] for i, ws in words.items()}
+        places = term_places(src, terms)
+        of, n = document_frequency(places, terms)
+        idf = np.log((1 + n) / (1 + of)) + 0.1
+        idf[of > max(COMMON * n, FEW)] = 0
+        terms.idf = idf.astype(np.float32)
+        found = _search(places, terms, latent_space(places, terms, list(items.values())), items)
         out = found if out is None else out.union(found)
-    if total > ITEMS:
-        out = out.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("found"))
+    if out is None:
+        none = F.expr("cast(array() as array<struct<item:bigint,share:double>>)")
+        out = src.select(F.monotonically_increasing_id().alias("row"), "id", none.alias("found"))
+    # Slices of a document, and blocks of items, come together by the number of the row.
+    out = out.groupBy("row", "id").agg(F.flatten(F.collect_list("found")).alias("found"))
     return out.select(
         F.col("id").alias(id_col),
-        F.expr("array_sort(transform(found, x -> x.item))").alias("items"),
+        F.expr("array_sort(array_distinct(transform(found, x -> x.item)))").alias("items"),
         F.expr("coalesce(array_max(transform(found, x -> x.share)), 0.0D)").alias("share"),
         (F.size("found") > 0).alias("contaminated"),
     )
@@ -303,7 +353,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that hold no benchmark item."""
-    from .common import materialize, small
-
+    before = tables()
     bad = materialize(contamination(df, benchmark, id_col, text_col).filter("contaminated").select(id_col).distinct(), "leaked")
+    release(keep=before | {bad._table})
     return df.join(small(bad), id_col, "left_anti").select(df.columns)
