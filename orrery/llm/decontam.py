@@ -35,11 +35,9 @@ PASSAGE = 48
 #: Words of sliding passages; an item is searched with the longest that it fills, and with the shortest otherwise.
 SLIDING = (12, 24, 48)
 #: Rank of the latent space, and columns by which the sketch is wider.
-RANK, EXTRA = 80, 8
-#: Share of an item's terms, for its part that a passage can hold, that a passage must have.
-DENSE = 0.45
+RANK, EXTRA = 96, 16
 #: Cosine from which a passage and an item are candidates.
-COSINE = 0.55
+COSINE = 0.4
 #: Share of the item in the common subsequence: certain, and enough if the answer is there too.
 CERTAIN, PARTIAL = 0.75, 0.5
 #: Share of the item that is its answer, and of the answer that must be found.
@@ -76,11 +74,10 @@ def lcs_mask(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def matches(item: list[int], rare: set[int], region: list[int]) -> float:
+def matches(item: list[int], region: list[int]) -> float:
     """How much of the item (of term numbers) the region holds, if it counts as leaked, else 0."""
     have = set(region)
-    need = [w for w in item if w in rare]
-    if need and sum(w in have for w in need) < PARTIAL * len(need):
+    if sum(w in have for w in item) < PARTIAL * len(item):
         return 0.0
     share = lcs_mask(item, region) / len(item)
     if share >= CERTAIN:
@@ -246,16 +243,15 @@ def _search(places: DataFrame, terms: Terms, space: np.ndarray, items: dict[int,
     seen = np.stack([weighted[x].sum(axis=0) for x in texts])
     seen /= np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-9)
     of = np.array([max([n for n in SLIDING if n <= len(x)], default=SLIDING[0]) for x in texts])
-    # Terms that a passage over the item must have at least.
-    n_rare = np.array([sum(w in r for w in x) for x, r in zip(texts, rare, strict=True)])
-    need = np.maximum(1, np.floor(DENSE * n_rare * np.minimum(1, of / [len(x) for x in texts])))
+    # A passage that holds half of an item has at least so many of its terms.
+    need = np.array([max(1, min(4, len(r) // 4)) for r in rare])
     groups = []
     for n in SLIDING:
         group = np.flatnonzero(of == n)
         if len(group):
             groups.append((n, group, need[group], np.ascontiguousarray(seen[group].T)))
     kind = dict(places.dtypes)["id"]
-    shared = places.sparkSession.sparkContext.broadcast((terms.idf, weighted, groups, texts, rare, numbers))
+    shared = places.sparkSession.sparkContext.broadcast((terms.idf, weighted, groups, texts, numbers))
 
     def candidates(at, ids, idf, weighted, groups):
         """(item, first word of a passage, its words) where the cosine is high enough."""
@@ -265,8 +261,8 @@ def _search(places: DataFrame, terms: Terms, space: np.ndarray, items: dict[int,
             return
         sums = None
         for length, group, need, seen in groups:
-            step = length // 2
-            begin = np.arange(max(0, int(at[0]) // step - 1) * step, int(at[-1]) + 1, step)
+            step = length // 4
+            begin = np.arange(max(0, int(at[0]) - length) // step * step, int(at[-1]) + 1, step)
             low, high = np.searchsorted(at, begin), np.searchsorted(at, begin + length)
             dense = high - low >= need.min()
             if not dense.any():
@@ -285,7 +281,7 @@ def _search(places: DataFrame, terms: Terms, space: np.ndarray, items: dict[int,
                 yield from zip(group[q].tolist(), begin[k + p].tolist(), [length] * len(p), strict=True)
 
     def run(batches):
-        idf, weighted, groups, texts, rare, numbers = shared.value
+        idf, weighted, groups, texts, numbers = shared.value
         gap = 4 * max(SLIDING[-1], *map(len, texts))
         for batch in batches:
             places, terms = _arrays(batch.column(2)), _arrays(batch.column(3))
@@ -308,7 +304,7 @@ def _search(places: DataFrame, terms: Terms, space: np.ndarray, items: dict[int,
                     if known.get(q, 0) < CERTAIN:
                         pad = max(length // 2, len(texts[q]) - length // 2)
                         lo, hi = np.searchsorted(at, (b - pad, b + length + pad))
-                        share = matches(texts[q], rare[q], ids[lo:hi].tolist())
+                        share = matches(texts[q], ids[lo:hi].tolist())
                         if share > known.get(q, 0):
                             known[q] = share
             out = [[{"item": numbers[q], "share": s} for q, s in sorted(x.items())] for x in best]

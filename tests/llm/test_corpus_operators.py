@@ -176,6 +176,39 @@ def test_leaks_in_slices_and_blocks(spark, leaks, monkeypatch):
     assert got == {d: [k] for d, k in truth.items()}
 
 
+LEAKY, BENCH = "/root/testdata/sf0.01", "/root/testdata/sf0.1/benchmark.parquet"
+
+
+def plants(spark, share, seed=3):
+    """Real documents, each benchmark item planted in some of them with a share of its words kept and its answer quarter whole."""
+    rng = random.Random(seed)
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{LEAKY}/documents.parquet").collect()]
+    pool = [w for _, t in docs for w in t.split()]
+    truth = {}
+    for r in spark.read.parquet(BENCH).orderBy("item_id").collect():
+        leak = r["text"].split()
+        for at in rng.sample(range(len(leak) - max(1, round(decontam.ANSWER * len(leak)))), round((1 - share) * len(leak))):
+            leak[at] = rng.choice(pool)
+        host = rng.choice(docs)[1].split()[:2000]
+        at = rng.randrange(len(host) + 1)
+        host[at:at] = leak
+        a, b = (decontam.words_of(x) for x in (r["text"], " ".join(leak)))
+        answer = a[-max(1, round(decontam.ANSWER * len(a))) :]
+        whole = decontam.lcs_mask(a, b) / len(a)
+        if whole >= decontam.CERTAIN or whole >= decontam.PARTIAL and decontam.lcs_mask(answer, b) >= decontam.ANSWERED * len(answer):
+            truth[10**6 + len(docs)] = r["item_id"]
+        docs.append((10**6 + len(docs), " ".join(host)))
+    return docs, truth
+
+
+def test_paraphrases_that_brute_force_finds_are_found(spark):
+    docs, truth = plants(spark, 0.6)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontam.contamination(df, spark.read.parquet(BENCH)).collect()}
+    missed = [d for d, k in truth.items() if k not in got[d]]
+    assert len(truth) > 50 and len(missed) <= 0.08 * len(truth), (len(missed), len(truth))
+
+
 def test_latent_space_spans_the_leading_directions(spark):
     rng = np.random.default_rng(0)
     terms = decontam.Terms([f"t{i}".encode() for i in range(30)])
