@@ -7,12 +7,14 @@ benchmark gives a latent space: every task sketches A'(A R) for a random R over
 its own passages, the sketches are summed per term, and the driver finishes
 with matrices of terms by ranks (the benchmark's vocabulary bounds them).
 Sliding passages of every document are then compared by cosine with the items.
+Items of which too few words have weight, as when many documents hold the item,
+are compared by the words that they share with every passage instead.
 Candidates are checked on the words: the longest common subsequence with the
 item and, where it covers the item only in part, as in a paraphrase, its answer
 (the end of the item) must be there as well.
 
-Defined cases. Null and empty documents are clean; items without words, or
-with common ones only, match nothing; an empty benchmark leaves all documents clean. Documents are read
+Defined cases. Null and empty documents are clean; items without words
+match nothing; an empty benchmark leaves all documents clean. Documents are read
 whole, a long one in slices that overlap. Repeated rows give repeated results.
 Input columns besides id and text aren't read.
 """
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import bisect
 import string
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ ANSWER, ANSWERED = 0.25, 0.7
 COMMON = 0.1
 #: Documents of which any number may hold a term without its being common.
 FEW = 50
+#: An item with a smaller share of words that have weight is compared with all passages instead.
+WEIGHTED = 0.5
 #: Items that are searched in one pass over the documents; a larger benchmark takes several.
 ITEMS = 20_000
 #: Words of a document that are held at once.
@@ -245,13 +249,15 @@ def _search(places: DataFrame, terms: Terms, space: np.ndarray, items: dict[int,
     of = np.array([max([n for n in SLIDING if n <= len(x)], default=SLIDING[0]) for x in texts])
     # A passage that holds half of an item has at least so many of its terms.
     need = np.array([max(1, min(4, len(r) // 4)) for r in rare])
+    poor = np.array([sum(w in r for w in x) < WEIGHTED * len(x) for x, r in zip(texts, rare, strict=True)])
+    exact = [(q, int(of[q]), *np.unique(texts[q], return_counts=True)) for q in np.flatnonzero(poor).tolist()]
     groups = []
     for n in SLIDING:
-        group = np.flatnonzero(of == n)
+        group = np.flatnonzero((of == n) & ~poor)
         if len(group):
             groups.append((n, group, need[group], np.ascontiguousarray(seen[group].T)))
     kind = dict(places.dtypes)["id"]
-    shared = places.sparkSession.sparkContext.broadcast((terms.idf, weighted, groups, texts, numbers))
+    shared = places.sparkSession.sparkContext.broadcast((terms.idf, weighted, groups, exact, texts, numbers))
 
     def candidates(at, ids, idf, weighted, groups):
         """(item, first word of a passage, its words) where the cosine is high enough."""
@@ -280,9 +286,47 @@ def _search(places: DataFrame, terms: Terms, space: np.ndarray, items: dict[int,
                 p, q = p[enough], q[enough]
                 yield from zip(group[q].tolist(), begin[k + p].tolist(), [length] * len(p), strict=True)
 
+    def around(q, length, texts):
+        """Words before and after a passage in which the item is looked for."""
+        return max(length // 2, len(texts[q]) - length // 2)
+
+    def sharing(at, ids, exact, texts, held):
+        """(item, first word of a passage, its words) where enough words of the item are around; no common subsequence is longer."""
+        for q, length, words, counts in exact:
+            held[words] = counts
+            n = held[ids]
+            held[words] = 0
+            met = np.flatnonzero(n)
+            if not len(met):
+                continue
+            p, n, step, pad = at[met], n[met], length // 4, around(q, length, texts)
+            least = PARTIAL * len(texts[q])
+            begin = np.unique(p // step)
+            begin = np.unique(np.concatenate([begin - k for k in range(4)])) * step
+            begin = begin[begin >= 0]
+            lo, hi = np.searchsorted(p, begin - pad), np.searchsorted(p, begin + length + pad)
+            # Any word may stand there as often as in the item, so count places by the item's occurrences first ...
+            sums = np.r_[0, np.cumsum(n)]
+            enough = sums[hi] - sums[lo] >= least
+            begin, lo, hi = begin[enough], lo[enough], hi[enough]
+            if not len(begin):
+                continue
+            # ... and then each word once, where it was not met before in the same place.
+            order = np.argsort(ids[met], kind="stable")
+            same = np.diff(ids[met][order]) == 0
+            before = np.full(len(met), -1)
+            before[order[1:][same]] = order[:-1][same]
+            for k in range(0, len(begin), 4096):
+                a, b = lo[k : k + 4096], hi[k : k + 4096]
+                j = a[:, None] + np.arange(int((b - a).max()))
+                i = np.minimum(j, len(met) - 1)
+                once = np.where((j < b[:, None]) & (before[i] < a[:, None]), n[i], 0).sum(axis=1)
+                yield from zip(repeat(q), begin[k : k + 4096][once >= least].tolist(), repeat(length))
+
     def run(batches):
-        idf, weighted, groups, texts, numbers = shared.value
+        idf, weighted, groups, exact, texts, numbers = shared.value
         gap = 4 * max(SLIDING[-1], *map(len, texts))
+        held = np.zeros(len(idf), np.int32)
         for batch in batches:
             places, terms = _arrays(batch.column(2)), _arrays(batch.column(3))
             best: list[dict[int, float]] = [{} for _ in places]
@@ -298,11 +342,11 @@ def _search(places: DataFrame, terms: Terms, space: np.ndarray, items: dict[int,
                     size += len(places[k])
                     k += 1
                 at, ids = np.concatenate(line), np.concatenate(terms[first:k])
-                for q, b, length in candidates(at, ids, idf, weighted, groups):
+                for q, b, length in chain(candidates(at, ids, idf, weighted, groups), sharing(at, ids, exact, texts, held)):
                     # The passage's document is that of its last place.
                     known = best[first + bisect.bisect_right(bases, at[np.searchsorted(at, b + length) - 1]) - 1]
                     if known.get(q, 0) < CERTAIN:
-                        pad = max(length // 2, len(texts[q]) - length // 2)
+                        pad = around(q, length, texts)
                         lo, hi = np.searchsorted(at, (b - pad, b + length + pad))
                         share = matches(texts[q], ids[lo:hi].tolist())
                         if share > known.get(q, 0):

@@ -209,6 +209,14 @@ def test_paraphrases_that_brute_force_finds_are_found(spark):
     assert len(truth) > 50 and len(missed) <= 0.08 * len(truth), (len(missed), len(truth))
 
 
+def test_an_item_in_a_third_of_all_documents_is_found(spark):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{LEAKY}/documents.parquet").collect()]
+    leak = spark.read.parquet(BENCH).filter("item_id = 1").collect()[0]["text"]
+    rows = [(i, f"{t} {leak} {t[:100]}" if n % 3 == 0 else t) for n, (i, t) in enumerate(docs)]
+    got = {r["doc_id"]: r["items"] for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(BENCH)).collect()}
+    assert all(1 in got[i] for n, (i, _) in enumerate(docs) if n % 3 == 0)
+
+
 def test_latent_space_spans_the_leading_directions(spark):
     rng = np.random.default_rng(0)
     terms = decontam.Terms([f"t{i}".encode() for i in range(30)])
