@@ -1,8 +1,9 @@
 """Licence scans with a positional rare-token index, in DataFrame functions only.
 
 Method. Words of the licence templates form a positional index: for each word,
-its postings (template, position). Their document frequencies are counted over
-all files. In each file the licence words of the highest IDF are looked up;
+its postings (template, position); words too common to tell templates apart are
+left out. In each file all indexed words are looked up, so that none of several
+licences crowds out another;
 subtracting a posting's position from the word's place gives the offset at which
 the template would stand, and postings are intersected by counting equal
 (template, offset). A template that reaches its share at one offset is accepted
@@ -12,15 +13,12 @@ All of it works within a row on arrays, so that no file is exchanged, however
 many files carry the same licence.
 
 Defined cases. Null and empty texts have no words, no places and score 0. A
-label is named once however often it occurs; of equally rare words the smaller
-ones are looked up. Very long texts are scanned whole. All other input columns
+label is named once however often it occurs. Very long texts are scanned whole. All other input columns
 are left out, so that none can clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +54,8 @@ NAMED = {"mit-notice": "mit"}
 # Words of the templates too common to be looked up.
 COMMON = set("0 1 2 3 4 a and any are by code copy files following for form free in into is made met of or person provided public purpose source subject that terms the this to under universal use v version with without".split())
 
-#: Licence words of a file that are looked up, the share of them that must agree on an offset, and how far off a phrase may stand.
-LOOKED_UP, SHARE, NEAR = 16, 0.6, 6
+#: Share of a template's indexed words that must agree on an offset, and how far off a phrase may stand.
+SHARE, NEAR = 0.6, 6
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAP = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -76,15 +74,6 @@ def _list(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def idf(df: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """IDF of the licence words, counted over all files; one number for each word reaches the driver."""
-    words = _words()
-    met = df.select(F.explode(F.expr(f"array_distinct(filter({_tokens(text_col)}, w -> w in ({_list(words)})))")).alias("w"))
-    n = {r["w"]: r["n"] for r in met.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = df.count()
-    return {w: math.log((1 + total) / (1 + n.get(w, 0))) for w in words}
-
-
 def _places(phrase: str) -> str:
     """Places where the words of a phrase stand consecutively, by way of the hits on its first word."""
     first, *rest = phrase.split()
@@ -94,17 +83,16 @@ def _places(phrase: str) -> str:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score and ``found`` (template, offset, share) of every file."""
-    words, weight = _words(), idf(df, text_col)
-    rank = {w: k for k, w in enumerate(sorted((w for w in words if w not in COMMON), key=lambda w: (-weight[w], w)))}
+    words = _words()
+    rare = {w for w in words if w not in COMMON}
     names = sorted(TEMPLATES)
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, name in enumerate(names):
         for p, w in enumerate(TEMPLATES[name][0].split()):
-            if w in rank:
+            if w in rare:
                 postings.setdefault(w, []).append((t, p))
     indexed = sorted(postings)
     posted = "map(" + ", ".join(f"'{w}', array({', '.join(f'struct({t} as t, {p} as p)' for t, p in postings[w])})" for w in indexed) + ")"
-    ranks = "map(" + ", ".join(f"'{w}', {rank[w]}" for w in indexed) + ")"
     phrases = sorted({p for _, ps in TEMPLATES.values() for p in ps} | set(PHRASES))
     column = {p: f"p{k}" for k, p in enumerate(phrases)}
 
@@ -113,11 +101,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     d = d.withColumn("hits", F.expr(hits))
     d = d.withColumns({c: F.expr(_places(p)) for p, c in column.items()})
     d = d.withColumn("n_words", F.size("tokens").cast("long")).drop("tokens")
-    # The file's rarest licence words, as (rank, word).
-    rarest = f"slice(array_sort(array_distinct(transform(filter(hits, h -> h.w in ({_list(indexed)})), h -> struct(element_at({ranks}, h.w) as k, h.w as w)))), 1, {LOOKED_UP})"
     found = f"transform(element_at({posted}, h.w), p -> struct(p.t as t, h.i - p.p as d))"
-    # The rarest words are bound as a value, so that they aren't looked for again at each hit.
-    votes = f"element_at(transform(array(transform({rarest}, r -> r.w)), rare -> array_sort(flatten(transform(filter(hits, h -> array_contains(rare, h.w)), h -> {found})))), 1)"
+    # Every indexed word votes, since a template must reach its share of all of them.
+    votes = f"array_sort(flatten(transform(filter(hits, h -> h.w in ({_list(indexed)})), h -> {found})))"
     d = d.withColumn("votes", F.expr(votes)).drop("hits")
     starts = "transform(filter(transform(votes, (v, k) -> if(coalesce(get(votes, k - 1) = v, false), -1, k)), k -> k >= 0), k -> k)"
     d = d.withColumn("starts", F.expr(starts))
@@ -125,7 +111,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     accepted = []
     for t, name in enumerate(names):
         template, needed = TEMPLATES[name]
-        wanted = sum(w in rank for w in template.split())
+        wanted = sum(w in rare for w in template.split())
         near = " and ".join(f"exists({column[p]}, x -> x between r.d - {NEAR} and r.d + {len(template.split()) + NEAR})" for p in needed)
         reach = f"r.n / {float(wanted)}D"
         accepted.append(f"transform(filter(runs, r -> r.t = {t} and {reach} >= {SHARE} and {near}), r -> struct('{NAMED.get(name, name)}' as label, r.d as at, least(1.0D, {reach}) as share))")

@@ -201,6 +201,15 @@ def test_licence_places_and_labels(spark, odd, none, sf_dir):
     assert not any(re.search("Python|Arrow|Pandas", x) for x in inspect.operators(licences.scan(odd)))
 
 
+def test_licences_of_a_file_with_many(spark):
+    wanted = ["mit", "bsd", "isc", "apache-2.0", "gpl-3.0", "mpl-2.0"]
+    text = "\n\n".join(licences.TEMPLATES[x][0] for x in wanted)
+    others = [(i, "licensed apache license gnu general public") for i in range(1, 9)]
+    df = spark.createDataFrame([(0, text), *others], "doc_id long, text string")
+    got = licences.scan(df).filter("doc_id = 0").collect()[0]
+    assert set(wanted) <= set(got["labels"].split(",")) and got["score"] == 1.0
+
+
 # Token counts
 
 
