@@ -7,24 +7,31 @@ groups, so a pair of points, or of boxes around points, is dropped when that
 sum is below what the threshold asks for. Surviving pairs are verified on the
 shingle sets themselves.
 
-Scale. Documents with equal sets are one node. The upper level of the index is
+Scale. Rows with equal sets are one node. The upper level of the index is
 a partition: the coordinates are cut into more blocks than the shingles in
 which two linked documents can differ, so that at least one block of counts
 must be equal, and that block is the cell where they meet (for blocks this fine
 grouping, each hash is a group of its own). A document with so few filled
 blocks that only empty ones might agree also meets others of its kind by these.
-Within a cell an R-tree is packed over the points and searched. A cell of more
-than ``CELL`` documents is dealt out as pairs of parts.
 
-A first search finds a spanning forest of each cell's surviving pairs, of which
-each document tries one; a second emits all surviving pairs whose ends are
-still in different components, from the cells that hold such. So no link
+Cells that hold one document only are left out first: a task sends each key once,
+packed into seven bytes with the document's number, to the bucket of its first
+bits, and the entries of keys that it met twice itself go past the count, dealt
+out by document. Within a cell an R-tree is packed over the points and searched.
+
+A first search looks into ``FEW`` cells of each document, a cell of more than
+``CELL`` documents in parts, and finds a spanning forest of the surviving pairs,
+of which each document tries one. A second search emits all surviving pairs whose
+ends are still in different components, from all cells that hold such; there
+a large cell is cut by component, and two parts of one component don't meet. So no link
 between different components is lost and copies aren't expanded.
 
 Defined cases. Null and empty texts have no shingles and link with nothing; a
-text with fewer words than a shingle is one shingle. A row without id has a null
-component. Rows that share an id are one node with the links of each. Input
-columns besides id and text aren't read. An empty table gives an empty result.
+text with fewer words than a shingle is one shingle. Every row is a document of its
+own, also if its id is null or occurs again: such rows share a component only by
+links. A component is named by its smallest id, and is null if none of its rows has
+an id. Input columns besides id and text aren't read. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -34,22 +41,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, release, small, tables, text_of
+from .common import BROADCAST_ROWS, map_arrow, materialize, release, small, tables, text_of
 from .graph import connected_components
 
 #: Coordinates of a point.
 GROUPS = 256
 #: Points in a leaf of the R-tree, and nodes below an inner node.
 LEAF = 64
-#: Documents of a cell that one task searches against as many others.
+#: Documents of a cell that one task searches at once.
 CELL = 2048
+#: Cells of a document in the first search.
+FEW = 8
 #: Documents whose sets one task compares with a document, or with as many others.
 BLOCK = 64
-#: Keys of a document by which a pair that meets in several cells is emitted in one of them.
-FIRST = 16
+#: Bits of a cell's key, bytes of it within a bucket of the count, and entries that a task packs at once.
+KEY_BITS, LOW, PACKED = 48, 5, 3_000_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 500_000
 
@@ -87,12 +96,9 @@ def shingles(text: str, width: int, hashes: Hashes) -> np.ndarray:
 
 
 def blocks(n: int, percent: int) -> list[tuple[int, int]]:
-    """(class, number of blocks) for a set of ``n``: of its own size class, and of its smallest partner's."""
-    found = {}
-    for x in (n, -(-percent * n // 100)):
-        top = 1 << x.bit_length()
-        found[top] = (top - 1) * (100 - percent) // percent + 2
-    return sorted(found.items())
+    """(class, number of blocks) for a set of ``n``: of the size classes from its smallest partner's to its own."""
+    tops = [1 << k for k in range((-(-percent * n // 100)).bit_length(), n.bit_length() + 1)]
+    return [(top, (top - 1) * (100 - percent) // percent + 2) for top in tops]
 
 
 def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -113,7 +119,7 @@ def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
         if len(filled) <= differ:
             empty = np.setdiff1d(np.arange(m), filled).astype(np.uint64)
             out.append(_mix(_mix(empty + salt) ^ _U(0x5851F42D4C957F2D)))
-    return np.concatenate(out).astype(np.int64)
+    return (np.concatenate(out) >> _U(64 - KEY_BITS)).astype(np.int64)
 
 
 def point_of(s: np.ndarray) -> bytes:
@@ -125,25 +131,124 @@ def points_of(packed: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32).astype(np.int32) for p in packed])
 
 
+def _narrow(values: np.ndarray, width: int) -> np.ndarray:
+    """The lowest ``width`` bytes of each number, (values, width)."""
+    return np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _widen(raw: np.ndarray) -> np.ndarray:
+    """Numbers from their lowest bytes."""
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view("<i8").ravel()
+
+
+def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, t and h, two hashes of the text; id and h tell rows apart, but for exact repetitions."""
+    src = df.select(F.col(id_col).cast("long").alias("id"), text_of(df, text_col).alias("t"))
+    return src.withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64("t", F.lit(1))})
+
+
 def sketch(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (size of the set), f1 and f2 (its fingerprint), keys (its cells) and point of every row."""
+    """r (the row's number), id, h1, h2, n (size of the set), f1 and f2 (its fingerprint), keys (its cells, packed) and point of every row."""
 
     def run(batches):
         hashes = Hashes()
         for batch in batches:
             n, f1, f2, keys, points = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(4).to_pylist():
                 s = shingles(text, width, hashes)
                 n.append(len(s))
                 f1.append(int(s.sum().astype(np.int64)))
                 f2.append(int(_mix(s ^ _U(0xD6E8FEB86659FD93)).sum().astype(np.int64)))
-                keys.append(cell_keys(s, percent))
+                keys.append(_narrow(cell_keys(s, percent), KEY_BITS // 8).tobytes())
                 points.append(point_of(s))
-            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["id", "n", "f1", "f2", "keys", "point"])
+            out = [*(batch.column(i) for i in range(4)), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.binary()), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["r", "id", "h1", "h2", "n", "f1", "f2", "keys", "point"])
 
-    src = df.select(F.col(id_col).cast("long").alias("id"), text_of(df, text_col).alias("t"))
-    return map_arrow(src, run, "id long, n long, f1 long, f2 long, keys array<long>, point binary")
+    src = _source(df, id_col, text_col).select(F.monotonically_increasing_id().alias("r"), "id", "h1", "h2", "t")
+    return map_arrow(src, run, "r long, id long, h1 long, h2 long, n long, f1 long, f2 long, keys binary, point binary")
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, r) of all cells that hold more than one of the nodes, which have r and keys (packed).
+
+    An entry is packed as the key's low bytes and 16 bits: the low 15 of the
+    row's number (the row it is packed in has the rest) and a mark on the one that
+    a task sends for all its entries of a key, which it doesn't count itself.
+    """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = min(8 * LOW, KEY_BITS - (4 * parts).bit_length())
+
+    def packed(key, row, mark, salted):
+        bucket, base = key >> low, row >> 15
+        order = np.lexsort((base, bucket))
+        key, row, mark, bucket, base = key[order], row[order], mark[order], bucket[order], base[order]
+        cut = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(base) != 0)]) if len(key) else np.empty(0, np.int64)
+        raw = np.concatenate([_narrow(key & ((1 << low) - 1), LOW), _narrow((row & 0x7FFF) * 2 + mark, 2)], axis=1)
+        ends = np.r_[cut, len(key)].astype(np.int32) * (LOW + 2)
+        values = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
+        salt = base[cut] % 1021 + 1 if salted else np.zeros(len(cut), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(salt), pa.array(base[cut]), values], ["bucket", "salt", "base", "entries"])
+
+    def deal(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            key, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            first = np.r_[True, np.diff(key) != 0]
+            met = ~(first & np.r_[first[1:], True])
+            yield packed(key[first], row[first], met[first], False)
+            if met.any():
+                yield packed(key[met], row[met], np.zeros(int(met.sum()), np.int64), True)
+
+        for batch in batches:
+            raw = batch.column(1)
+            counts = np.diff(np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4)) // (KEY_BITS // 8)
+            keys = _widen(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, KEY_BITS // 8))
+            held.append((keys, np.repeat(batch.column(0).to_numpy(), counts)))
+            size += len(keys)
+            if size > PACKED:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def entries(bucket, base, packed):
+        raw = np.frombuffer(packed, np.uint8).reshape(-1, LOW + 2)
+        tail = _widen(raw[:, LOW:])
+        return _widen(raw[:, :LOW]) | bucket << low, base << 15 | tail >> 1, tail & 1
+
+    def rows(key, row):
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(row, pa.int64())], ["key", "r"])
+
+    def count(batches):
+        now, held = None, []
+
+        def counted():
+            key, row, mark = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, of, times = np.unique(key, return_inverse=True, return_counts=True)
+            met = (times[of] > 1) & (mark == 0)
+            return rows(key[met], row[met])
+
+        for batch in batches:
+            for bucket, salt, base, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if salt:  # known to be met
+                    yield rows(*entries(bucket, base, raw)[:2])
+                    continue
+                if bucket != now and held:
+                    yield counted()
+                    held = []
+                now = bucket
+                held.append(entries(bucket, base, raw))
+        if held:
+            yield counted()
+
+    dealt = map_arrow(nodes.select("r", "keys"), deal, "bucket long, salt long, base long, entries binary")
+    return map_arrow(dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt"), count, "key long, r long")
 
 
 class RTree:
@@ -255,33 +360,50 @@ def search(cells: DataFrame, percent: int, every: bool) -> DataFrame:
         a, b = [], []
         for cell in _cells(batches):
             label = np.array(cell["label"])
-            order = np.argsort(cell["id"], kind="stable").tolist()
+            order = np.argsort(cell["r"], kind="stable").tolist()
             cell, label = {k: [v[i] for i in order] for k, v in cell.items()}, label[order]
             if len(label) < 2 or (label == label[0]).all():
                 continue
             may = RTree(points_of(cell["point"]), np.array(cell["n"]), percent).adjacency()
-            ids, key, first = cell["id"], cell["key"][0], [set(f) for f in cell["first"]] if every else []
-            if every:
-                x, y = np.nonzero(np.triu(may & (label[:, None] != label[None, :])))
-                pairs = [(i, j) for i, j in zip(x.tolist(), y.tolist(), strict=True) if not any(k < key for k in first[i] & first[j])]
-            else:
-                pairs = list(forest(may))
-            a += [min(ids[i], ids[j]) for i, j in pairs]
-            b += [max(ids[i], ids[j]) for i, j in pairs]
+            rows = cell["r"]
+            pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(may & (label[:, None] != label[None, :])))), strict=True) if every else forest(may)
+            for i, j in pairs:
+                a.append(min(rows[i], rows[j]))
+                b.append(max(rows[i], rows[j]))
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = cells.repartition("key", "part").sortWithinPartitions("key", "part")
+    dealt = cells.select("key", "part", "r", "n", "label", "point").repartition("key", "part").sortWithinPartitions("key", "part")
     return map_arrow(dealt, run, "a long, b long").filter("a < b").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, meshed: bool = False) -> DataFrame:
-    """The pairs whose shingle sets reach the threshold; docs has id and t.
+def parted(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """key, r and part of the entries (key, r, label) of hot cells, so that any two of different labels share a part.
+
+    A label of many entries is cut into parts of its own, the others of its cell
+    share parts; a task gets two parts of half a cell's size, but never two of the same label.
+    """
+    half = CELL // 2
+    of = entries.join(small(hot.select("key")), "key")
+    sizes = of.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    large = sizes.filter(f"c > {half}").select("key", "label", F.col("label").alias("own"))
+    of = of.join(small(materialize(large, "large")), ["key", "label"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    subs = materialize(of.groupBy("key", "own").agg(F.ceil(F.count(F.lit(1)) / half).alias("subs")), "subs")
+    of = of.join(small(subs), ["key", "own"]).withColumn("sub", F.pmod(F.xxhash64("r"), F.col("subs")))
+    one = subs.select("key", F.expr("explode(transform(sequence(0L, subs - 1), k -> struct(own, k as sub)))").alias("x"))
+    two = one.withColumnRenamed("x", "y")
+    met = one.join(two, "key").filter("x <= y and (x.own <> y.own or x.own = -1)").withColumn("part", F.xxhash64("x.own", "x.sub", "y.own", "y.sub"))
+    met = materialize(met.select("key", "part", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).select("key", "part", "x.own", "x.sub"), "parts")
+    return of.join(small(met), ["key", "own", "sub"]).select("key", "r", "part")
+
+
+def verify(pairs: DataFrame, known: DataFrame, docs: DataFrame, width: int, percent: int, meshed: bool = False) -> DataFrame:
+    """The pairs of rows whose shingle sets reach the threshold; known has r with id and hashes, docs these with t.
 
     Pairs are dealt to tasks so that a set is sent to few of them. As a rule,
-    pairs meet at their smaller id, ``BLOCK`` partners at a time. ``meshed`` pairs,
+    pairs meet at their smaller row, ``BLOCK`` partners at a time. ``meshed`` pairs,
     many among the same documents, meet by component: its documents are cut
     into blocks of about ``BLOCK``, and a task gets the sets of two blocks.
     """
@@ -301,7 +423,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, meshed:
         hashes = Hashes()
         for batch in batches:
             out = [shingles(t, width, hashes).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["r", "s"])
 
     def compare(batches):
         now, held = None, {}
@@ -310,79 +432,104 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, meshed:
             for *key, first, second, s in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if key != now:
                     now, held = key, {}
-                if second is None:  # more than one set if rows of different texts share the id
-                    held.setdefault(first, []).append(np.frombuffer(s, np.uint64))
+                if second is None:
+                    held[first] = np.frombuffer(s, np.uint64)
                     continue
-                for h in held.get(first, ()):
-                    for g in held.get(second, ()):
-                        both = len(np.intersect1d(h, g, assume_unique=True))
-                        if 100 * both >= percent * (len(h) + len(g) - both):
-                            a.append(first)
-                            b.append(second)
+                g, h = held[first], held[second]
+                both = len(np.intersect1d(g, h, assume_unique=True))
+                if 100 * both >= percent * (len(g) + len(h) - both):
+                    a.append(first)
+                    b.append(second)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    needed = materialize(dealt.select(*task, F.col("a").alias("id")).union(dealt.select(*task, "b")).distinct(), "needed")
-    ids = small(needed.select("id").distinct())
-    found = map_arrow(docs.join(ids, "id", "left_semi"), sets, "id long, s binary").join(small(needed), "id")
-    rows = found.select(*task, F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "s").union(dealt.select(*task, "a", "b", F.lit(None).cast("binary")))
+    needed = materialize(dealt.select(*task, F.col("a").alias("r")).union(dealt.select(*task, "b")).distinct(), "needed")
+    rows = small(materialize(known.join(small(needed.select("r").distinct()), "r", "left_semi").select("r", "id", "h1", "h2"), "texts"))
+    same = rows["id"].eqNullSafe(docs["id"]) & (rows["h1"] == docs["h1"]) & (rows["h2"] == docs["h2"])
+    found = map_arrow(docs.join(rows, same).select("r", "t"), sets, "r long, s binary").join(small(needed), "r")
+    rows = found.select(*task, F.col("r").alias("a"), F.lit(None).cast("long").alias("b"), "s").union(dealt.select(*task, "a", "b", F.lit(None).cast("binary")))
     met = rows.repartition(*task).sortWithinPartitions(*task, F.asc_nulls_first("b"))
     return map_arrow(met, compare, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``n_shingles`` and ``component_id`` (the smallest id reachable by links, its own included) of every row."""
+def components(df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """A table of r, id, h1, h2, n and component (smallest row number reachable by links) of every row."""
+    if not 0 < percent <= 100 or width < 1:
+        raise ValueError("percent must be from 1 to 100, and width 1 at least")
     before = tables()
     table = materialize(sketch(df, width, percent, id_col, text_col), "sketch")
-    sized = table.filter("n > 0 and id is not null")
-    same = sized.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").drop("last")
+    same = table.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("r").alias("node"), F.max("r").alias("last")).filter("node < last").drop("last")
     same = materialize(same, "same")
-    of = table.select("id", "n", "f1", "f2").join(small(same), ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    of = materialize(of, "nodes")
-    copies = of.filter("rep <> id").select("id").distinct()
-    nodes = sized.join(small(copies), "id", "left_anti")
-    if not sized.groupBy("id", "f1", "f2").count().filter("count > 1").isEmpty():
-        nodes = nodes.dropDuplicates(["id", "f1", "f2"])
-
-    entries = nodes.select("id", F.explode("keys").alias("key"))
-    met = entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1")
-    met = materialize(met, "met")
-    firsts = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
-    known = table.select("id", "n", "point").join(firsts, "id")
-    # A cell of more than CELL documents: each goes to every pair of parts that has its own.
-    parts = F.expr(f"ceil(c / {CELL})")
-    own = F.pmod(F.xxhash64("id"), F.col("parts"))
-    part = F.expr("explode(if(parts = 1, array(0L), transform(sequence(0L, parts - 1), j -> least(own, j) * parts + greatest(own, j))))")
-    cells = met.withColumn("parts", parts).withColumn("own", own).select("id", "key", part.alias("part")).join(known, "id")
-    cells = materialize(cells, "cells")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), text_of(df, text_col).alias("t"))
+    rows = table.select("r", "id", "h1", "h2", "n", "f1", "f2").join(small(same), ["f1", "f2", "n"], "left")
+    rows = materialize(rows.select("r", "id", "h1", "h2", "n", F.coalesce("node", "r").alias("node")), "rows")
+    copies = rows.filter("node <> r").select("r")
+    nodes = table.filter("length(keys) > 0").join(small(copies), "r", "left_anti")
+
+    met = materialize(shared_keys(nodes), "met")
+    of = met.groupBy("r").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # of one document
+    cells = materialize(table.select("r", "n", "point").join(of, "r"), "cells")
+    release(keep=before | {x._table for x in (same, rows, met, cells)})
+    hot = materialize(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(f"c > {CELL}"), "hot")
+    docs = _source(df, id_col, text_col)
 
     # Of the pairs that a document is the larger end of, one is tried first; as a rule it links the document.
-    first = search(cells.withColumn("label", F.col("id")), percent, every=False).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    pairs = materialize(first, "pairs")
-    links = materialize(verify(pairs, docs, width, percent), "links")
+    tried = cells.select("r", "n", "point", F.col("r").alias("label"), F.explode(F.slice("keys", 1, FEW)).alias("key"))
+    part = F.expr(f"pmod(xxhash64(r, key), coalesce(ceil(c / {CELL}), 1L))")
+    first = search(tried.join(small(hot), "key", "left").withColumn("part", part), percent, every=False)
+    pairs = materialize(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = materialize(verify(pairs, rows, docs, width, percent), "links")
     labels = materialize(connected_components(links), "labels")
-    labelled = cells.join(small(labels), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("key", "part").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key", "part")
-    open_cells = labelled.join(small(materialize(mixed, "mixed")), ["key", "part"], "left_semi")
-    rest = materialize(search(open_cells, percent, every=True).join(pairs, ["a", "b"], "left_anti"), "pairs")
+
+    labelled = cells.join(small(labels.withColumnRenamed("id", "r")), "r", "left").withColumn("label", F.coalesce("label", "r"))
+    labelled = labelled.select("r", "n", "point", "label", F.explode("keys").alias("key"))
+    mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key"), "mixed")
+    # A search passes over cells of one label; where these can be told by a broadcast, they aren't sent to it.
+    still = labelled.join(F.broadcast(mixed), "key", "left_semi") if mixed.count() <= BROADCAST_ROWS else labelled
+    if hot.isEmpty():
+        dealt = still.withColumn("part", F.lit(0).cast("long"))
+    else:
+        parts = parted(still.select("key", "r", "label"), hot)
+        dealt = still.join(small(hot.select("key")), "key", "left_anti").withColumn("part", F.lit(0).cast("long"))
+        dealt = dealt.unionByName(still.join(parts, ["key", "r"]).select(dealt.columns))
+    rest = materialize(search(dealt, percent, every=True).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        more = materialize(verify(rest, docs, width, percent, meshed=True), "links")
+        more = materialize(verify(rest, rows, docs, width, percent, meshed=True), "links")
         if not more.isEmpty():
             labels = materialize(connected_components(links.union(more)), "labels")
-    out = of.join(small(labels.select(F.col("id").alias("rep"), "label")), "rep", "left")
-    release(keep=before | {of._table, labels._table})
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    labels = small(labels.select(F.col("id").alias("node"), "label"))
+    out = materialize(rows.join(labels, "node", "left").select("r", "id", "h1", "h2", "n", F.coalesce("label", "node").alias("component")), "components")
+    release(keep=before | {out._table})
+    return out
+
+
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ``n_shingles`` and ``component_id`` (the smallest id reachable by links, its own included) of every row."""
+    found = components(df, width, percent, id_col, text_col)
+    # Rows that are a component of their own name it; the others take the smallest id of the rows of theirs.
+    groups = found.groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    out = found.join(small(materialize(groups, "groups")), "component", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with one document, that of the smallest id, of each component."""
-    before = tables()
-    found = materialize(near_duplicates(df, width, percent, id_col, text_col), "components")
-    release(keep=before | {found._table})
-    gone = found.filter(f"`{id_col}` <> component_id").select(id_col).distinct()
-    out = df.join(small(gone), id_col, "left_anti").select(df.columns)
-    twice = found.filter(f"`{id_col}` is not null").groupBy(id_col).count().filter("count > 1")
-    return out if twice.isEmpty() else out.dropDuplicates([id_col])
+    """The rows of ``df``, with one, that of the smallest id (null is the largest), of each component."""
+    found = components(df, width, percent, id_col, text_col)
+    rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("r"))
+    groups = found.groupBy("component").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    member = found.join(small(materialize(groups, "groups")), "component").withColumn("keep", F.col("kept.r") == F.col("r"))
+    # Rows are told apart by id and text; exact repetitions of a kept row are left to dropDuplicates.
+    member = member.groupBy("id", "h1", "h2").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("c"))
+    member = materialize(member.select("id", "h1", "h2", (F.col("keep") & (F.col("c") > 1)).alias("twice"), (~F.col("keep")).alias("gone")).filter("gone or twice"), "gone")
+    text, key = text_of(df, text_col), F.col(id_col).cast("long")
+
+    def of(which: str) -> tuple[DataFrame, Column]:
+        m = small(member.filter(which).select(F.col("id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")))
+        return m, key.eqNullSafe(m["_id"]) & (F.xxhash64(text) == m["_h1"]) & (F.xxhash64(text, F.lit(1)) == m["_h2"])
+
+    out = df.join(*of("gone or twice"), "left_anti")
+    if member.filter("twice").isEmpty():
+        return out.select(df.columns)
+    again = df.join(*of("twice"), "left_semi").withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(text, F.lit(1))})
+    return out.select(df.columns).union(again.dropDuplicates([id_col, "_h1", "_h2"]).select(df.columns))
 
 
 #: The query op2 in SQL, for tables whose ids are unique: all pairs that share a shingle, and reachability by links.

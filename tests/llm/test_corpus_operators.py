@@ -58,7 +58,7 @@ def near_copies(seed, groups=12, copies=9):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize(("seed", "width", "percent", "leaf", "cell"), [(1, 3, 90, 64, 2048), (2, 5, 80, 2, 3), (3, 1, 60, 4, 2), (4, 2, 95, 64, 2048)])
+@pytest.mark.parametrize(("seed", "width", "percent", "leaf", "cell"), [(1, 3, 90, 64, 2048), (2, 5, 80, 2, 3), (3, 1, 60, 4, 2), (4, 2, 95, 64, 2048), (5, 1, 30, 64, 8)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, width, percent, leaf, cell):
     monkeypatch.setattr(njaccard, "LEAF", leaf)
     monkeypatch.setattr(njaccard, "CELL", cell)
@@ -68,6 +68,16 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, width, percent,
     assert got == brute_components(docs, width, percent)
 
 
+def test_repeated_and_missing_ids_are_documents_of_their_own(spark):
+    a, b, c = ("one two three four five six seven eight", "other words stand here and make no link", "a third text without any friend at all")
+    docs = [(None, a), (None, b), (None, a), (5, b), (5, c), (5, c), (3, c + " x"), (5, None), (5, None), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in njaccard.near_duplicates(df, 3, 50).collect())
+    assert got == {(None, 6, None): 2, (None, 6, 5): 1, (5, 6, 5): 1, (5, 6, 3): 2, (3, 7, 3): 1, (5, 0, 5): 2, (None, 0, None): 1}
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in njaccard.keep_one(df, 3, 50).collect())
+    assert kept == {(None, a): 1, (5, b): 1, (3, c + " x"): 1, (5, None): 2, (None, None): 1}
+
+
 def test_components_of_odd_documents(odd, none):
     rows = [tuple(r) for r in njaccard.near_duplicates(odd, 3, 90).collect()]
     assert len(rows) == odd.count()
