@@ -6,24 +6,30 @@ distributed randomised SVD of the TF-IDF passages of all documents and of the
 benchmark gives a latent space: every task sketches A'(A R) for a random R over
 its own passages, the sketches are summed per term, and the driver finishes
 with matrices of terms by ranks (the benchmark's vocabulary bounds them).
-Sliding passages of every document are then compared by cosine with the items.
-Items of which too few words have weight, as when many documents hold the item,
-are compared by the words that they share with every passage instead.
+Sliding passages of every document are then compared by cosine with the items,
+a long item by the passages that it has itself. Passages around which there are
+too few of an item's rarer words for half of the item are passed over before: no
+common subsequence could be long enough there. Items of which too few words have
+weight, as when many documents hold the item, have no cosine to go by, and all
+passages that hold enough of their words are candidates.
 Candidates are checked on the words: the longest common subsequence with the
 item and, where it covers the item only in part, as in a paraphrase, its answer
 (the end of the item) must be there as well.
 
 Defined cases. Null and empty documents are clean; items without words
-match nothing; an empty benchmark leaves all documents clean. Documents are read
-whole, a long one in slices that overlap. Repeated rows give repeated results.
-Input columns besides id and text aren't read.
+match nothing; an empty benchmark leaves all documents clean. Items that share
+an id are searched each with its own text, and one without id is named null.
+Documents are read whole, a long one in slices that overlap by more than a leak
+of the longest item. Repeated rows give repeated results. Input columns besides
+id and text aren't read.
 """
 
 from __future__ import annotations
 
-import bisect
+import re
 import string
-from itertools import chain, repeat
+import unicodedata
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +56,34 @@ COMMON = 0.1
 FEW = 50
 #: An item with a smaller share of words that have weight is compared with all passages instead.
 WEIGHTED = 0.5
-#: Items that are searched in one pass over the documents; a larger benchmark takes several.
-ITEMS = 20_000
+#: Items, and bytes of their texts, that are searched in one pass over the documents; a larger benchmark takes several.
+ITEMS, ITEM_BYTES = 20_000, 1 << 24
+#: Share of an item, beyond what a leak may lack, that its rarer words make up by which passages are passed over.
+RARER = 0.15
+#: Words of a block in which rarer words are counted, and items counted at once.
+STEP, TOGETHER = 12, 256
 #: Words of a document that are held at once.
 SLICE = 200_000
 
 _SPACED = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
+def _runs(codes: list[int]) -> str:
+    """A character class of some code points, by their runs."""
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(codes), lambda x: x[1] - x[0])]
+    return "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs)
+
+
+#: Punctuation, symbols and spaces beyond ASCII, as Unicode has them (in the first plane).
+_MARKS = re.compile(f"[{_runs([c for c in range(128, 0xFFFE) if unicodedata.category(chr(c))[0] in 'PSZ'])}]+")
+
+
 def words_of(text: str) -> list[bytes]:
-    """Lower-case words between white space and ASCII punctuation, in UTF-8."""
-    return text.lower().encode("utf-8", "replace").translate(_SPACED).split()
+    """Lower-case words between white space, punctuation and symbols, in UTF-8."""
+    text = text.lower()
+    if not text.isascii():
+        text = _MARKS.sub(" ", text)
+    return text.encode("utf-8", "replace").translate(_SPACED).split()
 
 
 def lcs_mask(a: list, b: list) -> int:
@@ -104,12 +127,13 @@ class Terms:
         return at, ids[at]
 
 
-def term_places(src: DataFrame, terms: Terms) -> DataFrame:
+def term_places(src: DataFrame, terms: Terms, longest: int = PASSAGE) -> DataFrame:
     """row, id, part, at and term: the places of the benchmark's terms, of each document or, if long, of its slices.
 
     Texts are read and cut into words once; all later passes read these numbers.
-    Slices overlap by two passages.
+    Slices overlap by the words among which a leak of the longest item is looked for.
     """
+    overlap = 2 * longest + 2 * PASSAGE
     shared = src.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
@@ -122,7 +146,7 @@ def term_places(src: DataFrame, terms: Terms) -> DataFrame:
             for (row, key), text in zip(ids, batch.column(2), strict=True):
                 ws = words_of(text.as_py())
                 for part, k in enumerate(range(0, max(1, len(ws)), SLICE)):
-                    for column, x in zip(rows, (row, key, part, *t.find(ws[k : k + SLICE + 2 * PASSAGE])), strict=True):
+                    for column, x in zip(rows, (row, key, part, *t.find(ws[k : k + SLICE + overlap])), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["row", "id", "part", "at", "term"])
 
@@ -160,17 +184,13 @@ def document_frequency(places: DataFrame, terms: Terms) -> tuple[np.ndarray, int
     return out, total
 
 
-def _weighted(idf: np.ndarray, ids: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """TF-IDF weight of each occurrence, so that each passage has length 1 (part: its passage, ascending)."""
-    w = idf[ids]
-    if not len(w):
-        return w
-    # Occurrences of one term in a passage add up before squaring.
-    order = np.lexsort((ids, part))
-    cut = np.flatnonzero(np.r_[True, (np.diff(part[order]) != 0) | (np.diff(ids[order]) != 0)])
-    sums = np.add.reduceat(w[order], cut)
-    norm = np.sqrt(np.bincount(part[order][cut], sums * sums))
-    return w / np.maximum(norm[part], 1e-9)
+def _weighted(idf: np.ndarray, ids: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The TF-IDF matrix of some passages, each of length 1, as (passage, term, weight) in order; part: passages from 0 on."""
+    pair, count = np.unique(part * len(idf) + ids, return_counts=True)
+    part, ids = np.divmod(pair, len(idf))
+    w = idf[ids] * count.astype(np.float32)
+    norm = np.sqrt(np.bincount(part, w * w))
+    return part, ids, (w / np.maximum(norm[part], 1e-9)).astype(np.float32)
 
 
 def latent_space(places: DataFrame, terms: Terms, items: list[list[int]], seed: int = 11) -> np.ndarray:
@@ -182,15 +202,17 @@ def latent_space(places: DataFrame, terms: Terms, items: list[list[int]], seed:
     def sketch(idf: np.ndarray, r: np.ndarray, y: np.ndarray, ids: np.ndarray, part: np.ndarray) -> None:
         if not len(ids):
             return
-        _, part = np.unique(part, return_inverse=True)
-        w = _weighted(idf, ids, part)
-        x = r[ids] * w[:, None]
-        starts = np.flatnonzero(np.r_[True, np.diff(part) != 0])
-        z = np.add.reduceat(x, starts, axis=0)
-        back = z[part] * w[:, None]
+        cut = np.r_[True, np.diff(part) != 0]
+        part, ids, w = _weighted(idf, ids, np.cumsum(cut) - 1)
+        x = r[ids]
+        x *= w[:, None]
+        z = np.add.reduceat(x, np.flatnonzero(np.r_[True, np.diff(part) != 0]), axis=0)
         order = np.argsort(ids, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-        y[ids[order][cut]] += np.add.reduceat(back[order], cut, axis=0)
+        ids = ids[order]
+        np.take(z, part[order], axis=0, out=x)
+        x *= w[order][:, None]
+        cut = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
+        y[ids[cut]] += np.add.reduceat(x, cut, axis=0)
 
     def run(batches):
         idf, r = shared.value
@@ -203,7 +225,7 @@ def latent_space(places: DataFrame, terms: Terms, items: list[list[int]], seed:
                 held.append((ids[use], at[use] // PASSAGE + passages))
                 passages += (int(at[-1]) if len(at) else 0) // PASSAGE + 1
                 size += len(held[-1][0])
-                if size > 30_000:
+                if size > 10_000:
                     sketch(idf, r, y, *map(np.concatenate, zip(*held, strict=True)))
                     held, passages, size = [], 0, 0
             if held:
@@ -239,116 +261,169 @@ def latent_space(places: DataFrame, terms: Terms, items: list[list[int]], seed:
     return u[:, :RANK].astype(np.float32)
 
 
-def _search(places: DataFrame, terms: Terms, space: np.ndarray, items: dict[int, list[int]]) -> DataFrame:
-    """row, id and found (item, share) of every document or slice."""
-    numbers, texts = list(items), list(items.values())
-    rare = [{w for w in x if terms.idf[w] > 0} for x in texts]
-    weighted = (space * terms.idf[:, None]).astype(np.float32)
-    seen = np.stack([weighted[x].sum(axis=0) for x in texts])
-    seen /= np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-9)
-    of = np.array([max([n for n in SLIDING if n <= len(x)], default=SLIDING[0]) for x in texts])
-    # A passage that holds half of an item has at least so many of its terms.
-    need = np.array([max(1, min(4, len(r) // 4)) for r in rare])
-    poor = np.array([sum(w in r for w in x) < WEIGHTED * len(x) for x, r in zip(texts, rare, strict=True)])
-    exact = [(q, int(of[q]), *np.unique(texts[q], return_counts=True)) for q in np.flatnonzero(poor).tolist()]
-    groups = []
-    for n in SLIDING:
-        group = np.flatnonzero((of == n) & ~poor)
-        if len(group):
-            groups.append((n, group, need[group], np.ascontiguousarray(seen[group].T)))
-    kind = dict(places.dtypes)["id"]
-    shared = places.sparkSession.sparkContext.broadcast((terms.idf, weighted, groups, exact, texts, numbers))
-
-    def candidates(at, ids, idf, weighted, groups):
-        """(item, first word of a passage, its words) where the cosine is high enough."""
-        use = idf[ids] > 0
-        at, ids = at[use], ids[use]
-        if not len(at):
-            return
-        sums = None
-        for length, group, need, seen in groups:
-            step = length // 4
-            begin = np.arange(max(0, int(at[0]) - length) // step * step, int(at[-1]) + 1, step)
-            low, high = np.searchsorted(at, begin), np.searchsorted(at, begin + length)
-            dense = high - low >= need.min()
-            if not dense.any():
+class Index:
+    """The items by their rarer words, by which passages are passed over, and by their latent vectors."""
+
+    def __init__(self, terms: Terms, of: np.ndarray, space: np.ndarray, texts: list[list[int]]):
+        """of: the document frequency of each term."""
+        self.idf, self.texts = terms.idf, texts
+        self.weighted = (space * terms.idf[:, None]).astype(np.float32)
+        size = np.array([len(x) for x in texts])
+        self.length = np.array([max([n for n in SLIDING if n <= len(x)], default=SLIDING[0]) for x in texts])
+        #: Words before and after a passage in which the item is looked for.
+        self.pad = np.maximum(self.length // 2, size - self.length // 2)
+        rare = [{w for w in x if terms.idf[w] > 0} for x in texts]
+        # A passage that holds half of an item has at least so many of its terms that have weight.
+        self.rare = np.array([max(1, min(4, len(r) // 4)) for r in rare])
+        self.poor = np.array([sum(w in r for w in x) < WEIGHTED * len(x) for x, r in zip(texts, rare, strict=True)])
+        # Pieces of an item: the passages of a long one, else all of it.
+        cuts = [range(0, len(x), PASSAGE) if len(x) >= 2 * PASSAGE else [0] for x in texts]
+        pieces = [self.weighted[x[k : k + PASSAGE] if len(x) >= 2 * PASSAGE else x].sum(axis=0) for x, ks in zip(texts, cuts, strict=True) for k in ks]
+        self.pieces = np.stack(pieces)
+        self.pieces /= np.maximum(np.linalg.norm(self.pieces, axis=1, keepdims=True), 1e-9)
+        self.first = np.cumsum([0, *map(len, cuts)])
+        # A leak lacks at most some words of the item, so it has at least so many of the rarer ones.
+        self.need, posts = np.zeros(len(texts), np.int64), []
+        for q, x in enumerate(texts):
+            words, counts = np.unique(x, return_counts=True)
+            order = np.argsort(of[words], kind="stable")
+            lacks = len(x) - int(np.ceil(PARTIAL * len(x)))
+            sums = np.cumsum(counts[order])
+            k = min(len(order) - 1, int(np.searchsorted(sums, lacks + max(1, round(RARER * len(x))))))
+            self.need[q] = sums[k] - lacks
+            posts.append(words[order[: k + 1]])
+        self.chunks = []
+        for k in range(0, len(texts), TOGETHER):
+            part = posts[k : k + TOGETHER]
+            word, item = np.concatenate(part), np.repeat(np.arange(len(part)), [len(p) for p in part])
+            order = np.argsort(word, kind="stable")
+            self.chunks.append((k, len(part), np.searchsorted(word[order], np.arange(len(of) + 1)), item[order]))
+        #: Words by which documents on one line are kept apart; as each begins with a block, its neighbours make no difference.
+        self.gap = (int((self.length + self.pad).max()) // STEP + 2) * STEP
+
+    def _enough(self, at: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(items, first words of passages): the passages around which there are enough of the item's rarer words."""
+        found, blocks = [], int(at[-1]) // STEP + 1
+        block = at // STEP
+        for base, n, ptr, item in self.chunks:
+            degree = ptr[ids + 1] - ptr[ids]
+            ends = np.cumsum(degree)
+            if not ends[-1]:
                 continue
-            begin, low, high = begin[dense], low[dense], high[dense]
-            if sums is None:
-                sums = np.zeros((len(ids) + 1, weighted.shape[1]), np.float32)
-                np.cumsum(weighted[ids], axis=0, out=sums[1:])
-            for k in range(0, len(begin), 4096):
-                lo, hi = low[k : k + 4096], high[k : k + 4096]
-                x = sums[hi] - sums[lo]
-                x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
-                p, q = np.divmod(np.flatnonzero((x @ seen).ravel() >= COSINE), len(group))
-                enough = (hi - lo)[p] >= need[q]
-                p, q = p[enough], q[enough]
-                yield from zip(group[q].tolist(), begin[k + p].tolist(), [length] * len(p), strict=True)
-
-    def around(q, length, texts):
-        """Words before and after a passage in which the item is looked for."""
-        return max(length // 2, len(texts[q]) - length // 2)
-
-    def sharing(at, ids, exact, texts, held):
-        """(item, first word of a passage, its words) where enough words of the item are around; no common subsequence is longer."""
-        for q, length, words, counts in exact:
+            q = item[np.repeat(ptr[ids] - ends + degree, degree) + np.arange(ends[-1])]
+            width = -(-(self.length[base : base + n] + 2 * self.pad[base : base + n]) // STEP) + 1
+            most = int(width.max())
+            sums = np.zeros((n, blocks + 2 * most), np.int32)
+            sums[:, most + 1 : most + 1 + blocks] = np.bincount(q * blocks + np.repeat(block, degree), minlength=n * blocks).reshape(n, blocks)
+            np.cumsum(sums, axis=1, out=sums)
+            # sums[:, k] has the places of the blocks before k - most.
+            for w in np.unique(width):
+                group = np.flatnonzero(width == w)
+                held = sums[group, w:] - sums[group, :-w] >= self.need[base + group, None]
+                g, j = np.nonzero(held)
+                found.append((base + group[g], j - most))
+        return found
+
+    def candidates(self, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(items, first words of passages) where enough rarer words are around and the cosine is high enough."""
+        found = self._enough(at, ids)
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        q, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        step, low = self.length[q] // 4, j * STEP + self.pad[q]
+        begin = -(-low // step) * step
+        each = np.maximum(0, -(-(low + STEP - begin) // step))
+        ends = np.cumsum(each)
+        if not len(ends) or not ends[-1]:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        q, begin = np.repeat(q, each), np.repeat(begin, each) + (np.arange(ends[-1]) - np.repeat(ends - each, each)) * np.repeat(step, each)
+        poor = self.poor[q]
+        near = self._near(at, ids, q[~poor], begin[~poor])
+        return np.concatenate([q[poor], q[~poor][near]]), np.concatenate([begin[poor], begin[~poor][near]])
+
+    def sharing(self, ids: np.ndarray, qs: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which of some regions (places lo to hi) share enough words with their items, each as often as both have it."""
+        order = np.argsort(ids, kind="stable")
+        spot = np.empty(len(ids), np.int64)
+        spot[order] = np.arange(len(ids))
+        held, enough = np.zeros(len(self.idf), np.int32), np.zeros(len(qs), bool)
+        by = np.argsort(qs, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(qs[by])) + 1) if len(by) else ():
+            text = self.texts[qs[part[0]]]
+            words, counts = np.unique(text, return_counts=True)
             held[words] = counts
-            n = held[ids]
+            size = hi[part] - lo[part]
+            region = np.repeat(np.arange(len(part)), size)
+            at = np.repeat(lo[part] - np.cumsum(size) + size, size) + np.arange(len(region))
+            times = held[ids[at]]
+            use = times > 0
+            region, at, times = region[use], at[use], times[use]
+            # An occurrence counts unless as many before it, as the item has, are in the region.
+            back = spot[at] - times
+            before = order[np.maximum(back, 0)]
+            first = (back < 0) | (ids[before] != ids[at]) | (before < lo[part][region])
+            enough[part] = np.bincount(region[first], minlength=len(part)) >= PARTIAL * len(text)
             held[words] = 0
-            met = np.flatnonzero(n)
-            if not len(met):
-                continue
-            p, n, step, pad = at[met], n[met], length // 4, around(q, length, texts)
-            least = PARTIAL * len(texts[q])
-            begin = np.unique(p // step)
-            begin = np.unique(np.concatenate([begin - k for k in range(4)])) * step
-            begin = begin[begin >= 0]
-            lo, hi = np.searchsorted(p, begin - pad), np.searchsorted(p, begin + length + pad)
-            # Any word may stand there as often as in the item, so count places by the item's occurrences first ...
-            sums = np.r_[0, np.cumsum(n)]
-            enough = sums[hi] - sums[lo] >= least
-            begin, lo, hi = begin[enough], lo[enough], hi[enough]
-            if not len(begin):
-                continue
-            # ... and then each word once, where it was not met before in the same place.
-            order = np.argsort(ids[met], kind="stable")
-            same = np.diff(ids[met][order]) == 0
-            before = np.full(len(met), -1)
-            before[order[1:][same]] = order[:-1][same]
-            for k in range(0, len(begin), 4096):
-                a, b = lo[k : k + 4096], hi[k : k + 4096]
-                j = a[:, None] + np.arange(int((b - a).max()))
-                i = np.minimum(j, len(met) - 1)
-                once = np.where((j < b[:, None]) & (before[i] < a[:, None]), n[i], 0).sum(axis=1)
-                yield from zip(repeat(q), begin[k : k + 4096][once >= least].tolist(), repeat(length))
+        return enough
+
+    def _near(self, at: np.ndarray, ids: np.ndarray, q: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Which of some passages have an item's terms and a cosine with it, or a piece of it, that is high enough."""
+        use = self.idf[ids] > 0
+        at, ids = at[use], ids[use]
+        lo, hi = np.searchsorted(at, begin), np.searchsorted(at, begin + self.length[q])
+        left = np.flatnonzero(hi - lo >= self.rare[q])
+        keep = []
+        for k in range(0, len(left), 4096):
+            part = left[k : k + 4096]
+            # Passages of several items are summed once.
+            spans, of = np.unique(np.stack([lo[part], hi[part]], 1), axis=0, return_inverse=True)
+            size = spans[:, 1] - spans[:, 0]
+            starts = np.cumsum(size) - size
+            x = np.add.reduceat(self.weighted[ids[np.repeat(spans[:, 0] - starts, size) + np.arange(size.sum())]], starts, axis=0)
+            x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+            first, pieces = self.first[q[part]], self.first[q[part] + 1] - self.first[q[part]]
+            starts = np.cumsum(pieces) - pieces
+            piece = np.repeat(first - starts, pieces) + np.arange(pieces.sum())
+            cosine = np.einsum("ij,ij->i", x[np.repeat(of.ravel(), pieces)], self.pieces[piece])
+            keep.append(part[np.maximum.reduceat(cosine, starts) >= COSINE])
+        return np.concatenate(keep) if keep else left
+
+
+def _search(places: DataFrame, index: Index, numbers: list[int | None]) -> DataFrame:
+    """row, id and found (item, share) of every document or slice."""
+    kind = dict(places.dtypes)["id"]
+    shared = places.sparkSession.sparkContext.broadcast((index, numbers))
 
     def run(batches):
-        idf, weighted, groups, exact, texts, numbers = shared.value
-        gap = 4 * max(SLIDING[-1], *map(len, texts))
-        held = np.zeros(len(idf), np.int32)
+        index, numbers = shared.value
+        texts = index.texts
         for batch in batches:
             places, terms = _arrays(batch.column(2)), _arrays(batch.column(3))
             best: list[dict[int, float]] = [{} for _ in places]
             k = 0
             while k < len(places):
                 # Documents stand one after another on one line of places, so far apart that no passage spans two.
-                bases, line, end, size = [], [], 0, 0
+                bases, line, end, size = [], [], index.gap, 0
                 first = k
                 while k < len(places) and size < 50_000:
                     bases.append(end)
                     line.append(places[k].astype(np.int64) + end)
-                    end += (int(places[k][-1]) if len(places[k]) else 0) + gap
+                    end += ((int(places[k][-1]) if len(places[k]) else 0) // STEP + 1) * STEP + 2 * index.gap
                     size += len(places[k])
                     k += 1
                 at, ids = np.concatenate(line), np.concatenate(terms[first:k])
-                for q, b, length in chain(candidates(at, ids, idf, weighted, groups), sharing(at, ids, exact, texts, held)):
-                    # The passage's document is that of its last place.
-                    known = best[first + bisect.bisect_right(bases, at[np.searchsorted(at, b + length) - 1]) - 1]
-                    if known.get(q, 0) < CERTAIN:
-                        pad = around(q, length, texts)
-                        lo, hi = np.searchsorted(at, (b - pad, b + length + pad))
-                        share = matches(texts[q], ids[lo:hi].tolist())
+                if not len(at):
+                    continue
+                qs, begin = index.candidates(at, ids)
+                pad, length = index.pad[qs], index.length[qs]
+                lo, hi = np.searchsorted(at, begin - pad), np.searchsorted(at, begin + length + pad)
+                some = index.sharing(ids, qs, lo, hi)
+                # A passage's document is that of its last place.
+                doc = np.searchsorted(np.array(bases), at[np.maximum(hi, 1) - 1], side="right") - 1
+                for q, d, a, b in zip(*(x[some].tolist() for x in (qs, doc, lo, hi)), strict=True):
+                    known = best[first + d]
+                    if known.get(q, 0) < 1:
+                        share = matches(texts[q], ids[a:b].tolist())
                         if share > known.get(q, 0):
                             known[q] = share
             out = [[{"item": numbers[q], "share": s} for q, s in sorted(x.items())] for x in best]
@@ -358,31 +433,36 @@ def _search(places: DataFrame, terms: Terms, space: np.ndarray, items: dict[int,
     return map_arrow(places.select("row", "id", "at", "term"), run, f"row long, id {kind}, found array<struct<item:bigint,share:double>>")
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``items`` (the benchmark items found, ascending), ``share`` (the largest) and ``contaminated`` of every document."""
-    src = df.select(F.col(id_col).alias("id"), text_of(df, text_col).alias("t"))
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item"), text_of(benchmark).alias("t")).filter("item is not null")
-    total, out = bench.count(), None
-    for k in range(0, total, ITEMS):
+def leaks(src: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """id and found (item, share) of every row of src, which has id and t."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item"), text_of(benchmark).alias("t"))
+    items, size = bench.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    blocks, out = max(-(-items // ITEMS), -(-size // ITEM_BYTES)), None
+    for k in range(blocks):
         # The stated query set against all documents, a block of items at a time.
-        rows = bench.orderBy("item", "t").offset(k).limit(ITEMS).collect()
-        words = {r["item"]: ws for r in rows if (ws := words_of(r["t"]))}
+        rows = bench.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k).distinct().orderBy("item", "t").collect()
+        words = [(r["item"], ws) for r in rows if (ws := words_of(r["t"]))]
         if not words:
             continue
-        terms = Terms(sorted({w for ws in words.values() for w in ws}))
-        items = {i: [terms.at[w] for w in ws] for i, ws in words.items()}
-        places = term_places(src, terms)
+        terms = Terms(sorted({w for _, ws in words for w in ws}))
+        texts = [[terms.at[w] for w in ws] for _, ws in words]
+        places = term_places(src, terms, max(map(len, texts)))
         of, n = document_frequency(places, terms)
         idf = np.log((1 + n) / (1 + of)) + 0.1
         idf[of > max(COMMON * n, FEW)] = 0
         terms.idf = idf.astype(np.float32)
-        found = _search(places, terms, latent_space(places, terms, list(items.values())), items)
+        found = _search(places, Index(terms, of, latent_space(places, terms, texts), texts), [i for i, _ in words])
         out = found if out is None else out.union(found)
     if out is None:
         none = F.expr("cast(array() as array<struct<item:bigint,share:double>>)")
         out = src.select(F.monotonically_increasing_id().alias("row"), "id", none.alias("found"))
     # Slices of a document, and blocks of items, come together by the number of the row.
-    out = out.groupBy("row", "id").agg(F.flatten(F.collect_list("found")).alias("found"))
+    return out.groupBy("row", "id").agg(F.flatten(F.collect_list("found")).alias("found")).drop("row")
+
+
+def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ``items`` (the benchmark items found, ascending), ``share`` (the largest) and ``contaminated`` of every document."""
+    out = leaks(df.select(F.col(id_col).alias("id"), text_of(df, text_col).alias("t")), benchmark)
     return out.select(
         F.col("id").alias(id_col),
         F.expr("array_sort(array_distinct(transform(found, x -> x.item)))").alias("items"),
@@ -392,8 +472,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that hold no benchmark item."""
-    before = tables()
-    bad = materialize(contamination(df, benchmark, id_col, text_col).filter("contaminated").select(id_col).distinct(), "leaked")
+    """The rows of ``df`` that hold no benchmark item, each judged by its text, whatever its id."""
+    before, text = tables(), text_of(df, text_col)
+    found = leaks(df.select(F.md5(text).alias("id"), text.alias("t")), benchmark)
+    bad = materialize(found.filter(F.size("found") > 0).select(F.col("id").alias("_md5")).distinct(), "leaked")
     release(keep=before | {bad._table})
-    return df.join(small(bad), id_col, "left_anti").select(df.columns)
+    bad = small(bad)
+    return df.join(bad, F.md5(text) == bad["_md5"], "left_anti").select(df.columns)

@@ -227,6 +227,70 @@ def test_an_item_in_a_third_of_all_documents_is_found(spark):
     assert all(1 in got[i] for n, (i, _) in enumerate(docs) if n % 3 == 0)
 
 
+def leaked(item, words):
+    """By the common subsequence with the whole document: does it hold the item?"""
+    answer = item[-max(1, round(decontam.ANSWER * len(item))) :]
+    share = decontam.lcs_mask(item, words) / len(item)
+    return share >= decontam.CERTAIN or share >= decontam.PARTIAL and decontam.lcs_mask(answer, words) >= decontam.ANSWERED * len(answer)
+
+
+def test_long_items_are_found_across_slices_too(spark, monkeypatch):
+    """Items of 100 to 800 words, verbatim and with a fifth of the words exchanged, in documents of several slices."""
+    monkeypatch.setattr(decontam, "SLICE", 1000)
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in "bcdfgklm" for b in "abcdefghijklmnopqrstuvwxyzäöü"] + ["the", "of", "and"] * 20
+    items = {k: rng.choices(words, k=n) for k, n in enumerate([100, 150, 200, 300, 400, 500, 600, 800])}
+    docs, want = [], {}
+    for d in range(60):
+        text = rng.choices(words, k=rng.choice([300, 1500, 2600]))
+        if d % 2:
+            k = d // 2 % len(items)
+            leak = [rng.choice(words) if d % 4 == 1 and i < 0.7 * len(items[k]) and rng.random() < 0.28 else w for i, w in enumerate(items[k])]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = leak
+            want[d] = [k]
+        docs.append((d, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.contamination(df, bench).filter("contaminated").collect()}
+    assert {d: r["items"] for d, r in got.items()} == want
+    assert all(got[d]["share"] == 1 for d in want if d % 4 == 3)
+
+
+def test_items_of_one_id_without_id_and_typeset_anew(spark, leaks):
+    items = leaks[1]
+    texts = [" ".join(items[k]) for k in range(4)]
+    typeset = "“" + texts[2].replace(" ", "” — “") + "”…"
+    docs = [(0, texts[0]), (1, texts[1]), (2, typeset), (3, texts[3]), (None, texts[0]), (None, "nothing of it"), (7, texts[0]), (7, "clean")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (6, texts[2]), (None, texts[3])], "item_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["items"]) for r in decontam.contamination(df, bench).collect() if r["contaminated"])
+    assert got == [(-1, [5]), (-1, [5]), (1, [5]), (2, [6]), (3, [None]), (7, [5])]
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in decontam.drop_contaminated(df, bench).collect()) == [(-1, "nothing of it"), (7, "clean")]
+
+
+def test_passages_are_passed_over_without_loss(leaks):
+    """Every region that brute force verifies has enough of the item's rarer words, and shares enough words."""
+    docs, items, _ = leaks
+    terms = decontam.Terms(sorted({w.encode() for x in items.values() for w in x}))
+    texts = [[terms.at[w.encode()] for w in x] for x in items.values()]
+    rng = np.random.default_rng(1)
+    index = decontam.Index(terms, rng.integers(1, 90, len(terms.at)), rng.standard_normal((len(terms.at), 8)).astype(np.float32), texts)
+    for d, t in docs:
+        at, ids = terms.find(decontam.words_of(t or ""))
+        if not len(at):
+            continue
+        at = at.astype(np.int64) + index.gap
+        found = {(q, j) for qs, js in index._enough(at, ids) for q, j in zip(qs.tolist(), js.tolist(), strict=True)}
+        for q, text in enumerate(texts):
+            step, pad, length = int(index.length[q]) // 4, int(index.pad[q]), int(index.length[q])
+            for begin in range(0, int(at[-1]) + 1, step):
+                lo, hi = np.searchsorted(at, (begin - pad, begin + length + pad))
+                if decontam.lcs_mask(text, ids[lo:hi].tolist()) >= decontam.PARTIAL * len(text):
+                    assert (q, (begin - pad) // decontam.STEP) in found
+                    assert index.sharing(ids, np.array([q]), np.array([lo]), np.array([hi])).all()
+
+
 def test_latent_space_spans_the_leading_directions(spark):
     rng = np.random.default_rng(0)
     terms = decontam.Terms([f"t{i}".encode() for i in range(30)])
