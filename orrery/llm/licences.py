@@ -7,7 +7,7 @@ licences crowds out another;
 subtracting a posting's position from the word's place gives the offset at which
 the template would stand, and postings are intersected by counting equal
 (template, offset). A template that reaches its share at one offset is accepted
-if its mandatory key phrases stand near that offset.
+if each of its mandatory key phrases stands about where the template has it.
 
 All of it works within a row on arrays, so that no file is exchanged, however
 many files carry the same licence.
@@ -54,8 +54,8 @@ NAMED = {"mit-notice": "mit"}
 # Words of the templates too common to be looked up.
 COMMON = set("0 1 2 3 4 a and any are by code copy files following for form free in into is made met of or person provided public purpose source subject that terms the this to under universal use v version with without".split())
 
-#: Share of a template's indexed words that must agree on an offset, and how far off a phrase may stand.
-SHARE, NEAR = 0.6, 6
+#: Share of a template's indexed words that must agree on an offset, and words by which a phrase may stand off its place.
+SHARE, NEAR = 0.6, 3
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAP = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -81,6 +81,11 @@ def _places(phrase: str) -> str:
     return f"transform(filter(hits, h -> {same}), h -> h.i)"
 
 
+def _place(template: str, phrase: str) -> int:
+    """The word of the template at which the phrase begins."""
+    return len(f" {template} ".split(f" {phrase} ")[0].split())
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score and ``found`` (template, offset, share) of every file."""
     words = _words()
@@ -112,7 +117,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     for t, name in enumerate(names):
         template, needed = TEMPLATES[name]
         wanted = sum(w in rare for w in template.split())
-        near = " and ".join(f"exists({column[p]}, x -> x between r.d - {NEAR} and r.d + {len(template.split()) + NEAR})" for p in needed)
+        near = " and ".join(f"exists({column[p]}, x -> x between r.d + {_place(template, p) - NEAR} and r.d + {_place(template, p) + NEAR})" for p in needed)
         reach = f"r.n / {float(wanted)}D"
         accepted.append(f"transform(filter(runs, r -> r.t = {t} and {reach} >= {SHARE} and {near}), r -> struct('{NAMED.get(name, name)}' as label, r.d as at, least(1.0D, {reach}) as share))")
     d = d.withColumn("found", F.expr(f"if(size(runs) = 0, cast(array() as array<struct<label:string,at:int,share:double>>), concat({', '.join(accepted)}))"))

@@ -6,8 +6,8 @@ background model over all documents. A document's score is the mean over its
 tokens of the target's loss less the background's, so that a lower score means
 closer to the target.
 
-The vocabulary is every character of the corpus by its code point; a gram of
-``ORDER`` = 3 code points of 21 bits fits a 63-bit key exactly, and nothing is
+The vocabulary is every character of the corpus by its code point plus one; a gram of
+``ORDER`` = 3 such numbers of 21 bits fits a 63-bit key exactly, and nothing is
 cut off by frequency. Counts are summed within each task before they are
 exchanged, and grow with the corpus. A probability backs off from the longest
 context to the shorter ones by interpolation (Witten-Bell), down to a uniform
@@ -41,7 +41,7 @@ CHUNK = 1_000_000
 
 def grams(text: str) -> list[np.ndarray]:
     """Keys of the grams that end at each character, by length; the text starts after ORDER - 1 zero characters."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64) + 1  # 0 is the padding
     padded = np.concatenate([np.zeros(ORDER - 1, np.int64), codes])
     out, key = [], np.zeros(len(codes), np.int64)
     for n in range(ORDER):

@@ -7,8 +7,10 @@ hardly ever in clean ones. A chain of two states is trained on these tokens. Whe
 forward-backward gives each word's marginal; a document's score is its largest
 one, and words at or above the threshold, as offsets, are its offending spans.
 
-The model is fitted on at most ``TRAIN_DOCS`` documents of each label (those of
-the smallest hash of the id), read whole; every document is scored whole. The
+The model is fitted on a bounded sample of labelled rows: at most ``TRAIN_DOCS``
+documents of each label (those of the smallest hash of the id) and ``TRAIN_BYTES``
+of text, of which all pieces with a cue are learned from and ``CLEAN_PIECES`` times
+as many, at random, of the clean ones. Every document is scored whole. The
 forward-backward pass of a batch is one chain that starts anew at each
 document, cut into blocks that are multiplied side by side.
 
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, text_of
 
-#: Labelled documents of each label that the model is fitted on at most.
-TRAIN_DOCS = 1500
+#: Labelled documents of each label, and bytes of their texts, that the model is fitted on at most.
+TRAIN_DOCS, TRAIN_BYTES = 1500, 48_000_000
 #: Words of a training sequence, and sequences without a toxic word for each one with some.
 PIECE, CLEAN_PIECES = 64, 3
 #: Training sequences whose gradient is computed at once.
@@ -54,7 +56,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def _slot(kind: str, value: str) -> int:
@@ -264,9 +266,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.filter(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64("doc_id")
     picked = [known.filter(f"toxic = {k}").orderBy(rank, "doc_id").limit(TRAIN_DOCS) for k in (0, 1)]
-    chosen = picked[0].union(picked[1]).select(F.col("doc_id").alias(id_col), "toxic")  # 2 * TRAIN_DOCS rows at most
-    rows = docs.select(id_col, text_of(docs, text_col).alias("t")).join(F.broadcast(chosen), id_col).orderBy(F.xxhash64(id_col), id_col).collect()
-    return fit([r["t"] for r in rows], [r["toxic"] == 1 for r in rows])
+    chosen = picked[0].union(picked[1]).select(F.col("doc_id").alias("id"), "toxic")  # 2 * TRAIN_DOCS rows at most
+    rows = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).alias("t")).join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64("t"))
+    # An id may occur again: the texts are chosen by their sizes before any is fetched.
+    rank = [F.xxhash64("id"), F.col("id"), F.col("h")]
+    sizes = rows.select("id", "h", F.octet_length("t").alias("size")).distinct().orderBy(*rank).limit(2 * TRAIN_DOCS).collect()
+    total, wanted = 0, []
+    for r in sizes:
+        if total + r["size"] <= TRAIN_BYTES:
+            total += r["size"]
+            wanted.append((r["id"], r["h"]))
+    if not wanted:
+        return None
+    few = docs.sparkSession.createDataFrame(wanted, rows.select("id", "h").schema)
+    found = rows.join(F.broadcast(few), ["id", "h"]).dropDuplicates(["id", "h"]).orderBy(*rank).collect()
+    return fit([r["t"] for r in found], [r["toxic"] == 1 for r in found])
 
 
 class Scorer:
@@ -337,7 +351,7 @@ def score(df: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col:
                     a, b = next(of)
                     scores.append(float(p[a:b].max()))
                     bad = set(np.flatnonzero(p[a:b] >= threshold).tolist())
-                    found = enumerate(_WORD.finditer(text.lower())) if bad else ()
+                    found = enumerate(_WORD.finditer(text)) if bad else ()
                     spans.append([{"start": m.start(), "end": m.end(), "p": float(p[a + i])} for i, m in found if i in bad])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], [id_col, "score", "spans"])

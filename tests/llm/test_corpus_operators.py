@@ -365,6 +365,18 @@ def test_shards_on_disk(spark, odd, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
 
 
+def test_shards_on_disk_hold_each_row_once(spark, tmp_path):
+    rows = [(7, "x" * 60)] * 9 + [(7, "other" * 12), (None, "n" * 50), (None, None), (1, "y" * 500), (1, "y" * 500), (2, "z"), (2, "w")]
+    df = spark.createDataFrame([(*r, "tag", "old") for r in rows], "doc_id long, text string, row string, shard string")
+    sharding.write_shards(df, str(tmp_path / "s"), 200)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter(rows)
+    size = collections.Counter()
+    for r in got.collect():
+        size[r["shard"]] += len(r["text"] or "")
+    assert got.columns == ["doc_id", "text", "row", "shard"] and all(n <= 200 or "-row" in x for x, n in size.items())
+
+
 # Toxicity
 
 
@@ -400,6 +412,29 @@ def test_toxic_words_are_learned(spark, insults):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["score"] < toxicity.THRESHOLD} and kept.schema == df.schema
 
 
+def test_offsets_are_those_of_the_text(spark, insults):
+    docs, toxic = insults
+    chain = toxicity.fit(docs, toxic)
+    text = "İİİİ şehir Grumph ﬁne ẞ grumph"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = toxicity.score(df, chain).collect()[0]["spans"]
+    assert [text[x["start"] : x["end"]] for x in spans] == ["Grumph", "grumph"]
+
+
+def test_training_is_bounded_by_rows_and_bytes(spark, insults, monkeypatch):
+    docs, toxic = insults
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    df = spark.createDataFrame([(i, f"{t} {k}") for i, t in enumerate(docs) for k in range(5)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append(texts))
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 60)
+    toxicity.train(df, labels)
+    assert 100 <= len(seen[0]) <= 120
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 5000)
+    toxicity.train(df, labels)
+    assert 3000 < sum(map(len, seen[1])) <= 5000
+
+
 def test_labels_of_the_held_out_fold_are_not_read(spark, insults):
     docs, toxic = insults
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")

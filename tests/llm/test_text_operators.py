@@ -201,6 +201,44 @@ def test_licence_places_and_labels(spark, odd, none, sf_dir):
     assert not any(re.search("Python|Arrow|Pandas", x) for x in inspect.operators(licences.scan(odd)))
 
 
+def brute_labels(text):
+    """The method's labels by trying every template at every offset."""
+    ws = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    found = {name for p, name in licences.PHRASES.items() if any(ws[i : i + len(p.split())] == p.split() for i in range(len(ws)))}
+    for name, (template, phrases) in licences.TEMPLATES.items():
+        words = template.split()
+        rare = [(k, w) for k, w in enumerate(words) if w not in licences.COMMON]
+        for d in range(-len(words), len(ws)):
+            agree = sum(0 <= d + k < len(ws) and ws[d + k] == w for k, w in rare)
+            if agree / len(rare) < licences.SHARE:
+                continue
+            near = []
+            for p in map(str.split, phrases):
+                at = d + next(k for k in range(len(words)) if words[k : k + len(p)] == p)
+                near.append(any(ws[i : i + len(p)] == p for i in range(max(0, at - licences.NEAR), at + licences.NEAR + 1)))
+            if all(near):
+                found.add(licences.NAMED.get(name, name))
+    return ",".join(sorted(found))
+
+
+def test_licence_labels_equal_brute_force(spark):
+    rng = random.Random(21)
+    notices = [t for t, _ in licences.TEMPLATES.values()]
+    texts = ["\n".join(notices), "\n".join(reversed(notices)), *notices]
+    for _ in range(150):
+        words = " x y the ".join(rng.sample(notices, rng.randrange(1, 6))).split()
+        for _ in range(rng.randrange(12)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randrange(2)] = rng.choices(words, k=rng.randrange(2))
+            words = words or ["x"]
+        texts.append(" ".join(w.title() if rng.random() < 0.2 else w for w in words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licences.scan(df).collect()}
+    assert got == {i: brute_labels(t) for i, t in enumerate(texts)}
+    every = {licences.NAMED.get(x, x) for x in licences.TEMPLATES} | {"gpl", "apache", "cc-by", "mit"}
+    assert set(got[0].split(",")) == set(got[1].split(",")) == every
+
+
 def test_licences_of_a_file_with_many(spark):
     wanted = ["mit", "bsd", "isc", "apache-2.0", "gpl-3.0", "mpl-2.0"]
     text = "\n\n".join(licences.TEMPLATES[x][0] for x in wanted)
