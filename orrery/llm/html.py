@@ -7,10 +7,14 @@ the second pass an ambiguous block inherits the label of the nearest decided
 block of its section. Parts that the markup itself names as no article (menus,
 headers, footers, asides, forms, adverts, notices, reader comments, scripts and
 styles) are left out before; if the page marks an article, blocks outside it
-are bad.
+are bad. A class or id counts as a name if all its words do (``cookie-notice``), or the
+others only say where it stands (``left-sidebar``); ``ad-free`` and ``page-with-sidebar``
+name no such part. A page of which nothing is left that way is read again without
+what sets its outermost parts apart, if the first pass then finds a good block.
 
 Defined cases. A null page or one without text gives the empty text. Unclosed,
-unmatched and cut-off tags are tolerated; text outside any element is a block.
+unmatched and cut-off tags are tolerated: a part ends with its parent at the latest, and
+an article ends a menu or header left open before it; text outside any element is a block.
 Repeated rows give repeated results; an empty table gives an empty result.
 Only the columns named are read, so that others can't clash.
 """
@@ -39,6 +43,8 @@ APART_NAMES = set(
     "footer header masthead comment comments disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login social share sharing related recommended recommendations widget widgets toolbar pagination pager copyright legal disclaimer skip".split()
 )
+# Words in class and id names that only say where or how a part stands.
+PLACE_NAMES = set("main site page post article entry left right top bottom primary secondary global container wrapper wrap inner outer box area block section list item items group content link links text title body bar panel mobile desktop inline sticky fixed col column div".split())
 COMMENT_NAMES = set("comment comments reply replies respond".split())
 APART_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 # Frequent function words of English, German, French and Spanish.
@@ -54,7 +60,7 @@ LONG, LINKED, STOPPED = 70, 0.33, 0.08
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
 _ATTR = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,11 +78,15 @@ def _judged(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
     names: set[str] = set()
     hidden = False
     for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
-            # A class such as has-sidebar or no-comments says what the element isn't.
-            names.update(n for token in value.split() if not token.startswith(("no-", "has-", "with-")) for n in _NAME.findall(token))
-        elif key == "role" and value in APART_ROLES:
+            for token in value.split():
+                words = {w.lower() for w in _NAME.findall(token)}
+                if words <= APART_NAMES | PLACE_NAMES:
+                    names |= words & APART_NAMES
+            continue
+        value = value.lower()
+        if key == "role" and value in APART_ROLES:
             names.add("nav")
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
@@ -84,13 +94,13 @@ def _judged(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
         return False, False, tag == "main"
     if tag == "article":
         return hidden, bool(names & COMMENT_NAMES), True
-    return tag in DROPPED or hidden, tag in APART or tag == "header" or bool(names & APART_NAMES), False
+    return tag in DROPPED or hidden, tag in APART or tag == "header" or bool(names), False
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, without what its markup sets apart."""
+def blocks(page: str, outermost: bool = True) -> list[Block]:
+    """The page's blocks in order, without what its markup sets apart (but for its ``outermost`` such parts, if these shall stay)."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # (tag, left out, section, in the article)
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # (tag, left out, section, in the article, in a part set apart)
     buffer: list[str] = []
     linked, links, sections, breaks, at = 0, 0, 0, 0, 0
 
@@ -161,8 +171,10 @@ def blocks(page: str) -> list[Block]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
             if k is not None and (stack[k][0] == "p" or stack[k][0] == tag and tag in ITEMS):
                 pop_to(k)
-        left, section, main = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, 0, False)
+        left, section, main, within = stack[-1][1:] if stack else (False, 0, False, False)
         dropped, apart, article = _judged(tag, m[3] or m[6] or "", main)
+        if article and left and next(x[0] for x in stack if x[1]) in ("nav", "menu", "header"):
+            left = within = False  # these hold no article: they were left open
         if tag == "header" and main and not dropped:
             apart = False  # an article's own header holds its title; what else it has is judged as blocks are
         if article:
@@ -172,21 +184,27 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag == "a":
             links += 1
-        stack.append((tag, left or dropped or apart, section, main or article))
+        stack.append((tag, left or dropped or apart and (outermost or within), section, main or article, within or apart))
     flush()
     return out
 
 
+def first_pass(b: Block) -> bool | None:
+    """Good, bad or (None) ambiguous, by the block alone."""
+    n = len(b.text)
+    if b.linked > LINKED * n:
+        return False
+    if n < LONG:
+        return None
+    words = _WORD.findall(b.text.lower())
+    share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    return True if b.main or share >= STOPPED else None
+
+
 def judge(found: list[Block]) -> None:
     """Both passes over the blocks of a page."""
     for b in found:
-        n = len(b.text)
-        if b.linked > LINKED * n:
-            b.good = False
-        elif n >= LONG:
-            words = _WORD.findall(b.text.lower())
-            share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            b.good = True if b.main or share >= STOPPED else None
+        b.good = first_pass(b)
     if any(b.main and b.good for b in found) or any(b.main and b.good is None for b in found):
         for b in found:
             b.good = b.good if b.main else False
@@ -213,6 +231,11 @@ def extract(page: str | None) -> str:
     """The main text: good blocks in page order, joined by an empty line."""
     found = blocks(page or "")
     judge(found)
+    if page and not any(b.good for b in found):
+        found = blocks(page, outermost=False)
+        if not any(first_pass(b) for b in found):
+            return ""
+        judge(found)
     return "\n\n".join(b.text for b in found if b.good)
 
 

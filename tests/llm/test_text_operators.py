@@ -149,6 +149,38 @@ def test_html_odd_pages(page, text):
     assert html.extract(page) == text
 
 
+STORY = "This is the long block of the page and it has all of the words that are in use."
+
+
+@pytest.mark.parametrize("name", ["page-with-sidebar", "related-work", "ad-free", "article-social-science", "pageWithSidebar", "no-comments", "has-sidebar two-columns"])
+def test_html_names_that_name_no_part(name):
+    assert html.extract(f'<div class="{name}"><p>{STORY}</p></div><div class="x"><p>{STORY} More.</p></div>') == f"{STORY}\n\n{STORY} More."
+
+
+@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "cookie-notice", "site-footer", "siteFooter", "post-comments", "x ad", "nav-links"])
+def test_html_names_of_parts(name):
+    assert html.extract(f'<div class="{name}"><p>{STORY} Not this.</p></div><div><p>{STORY}</p></div>') == STORY
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<nav><a href="x">Home of all</a><main><p>{STORY}</p></main>',
+        f'<nav><a href="x">Home of all</a><article><p>{STORY}</p></article>',
+        f'<div><nav><a href="x">Home of all</a></div><p>{STORY}</p>',
+        f'<nav><ul><li><a href="x">Home of all</a></li></ul><p>{STORY}</p>',
+        f'<aside><p>{STORY}</p>',
+        f'<div class="sidebar"><nav><p>{STORY} Menu.</p></nav><p>{STORY}</p><div class="comments"><p>{STORY} Reader.</p></div></div>',
+    ],
+)
+def test_html_parts_left_open_or_around_all(page):
+    assert html.extract(page) == STORY
+
+
+def test_html_of_menus_only():
+    assert html.extract('<nav><a href="1">One</a><a href="2">Two</a></nav><footer>Owner</footer>') == ""
+
+
 def test_html_inherits_from_the_nearest_decided_block():
     long = "This is the long block of the page and it has all of the words that are in use."
     links = "".join(f'<li><a href="{i}">Link number {i}</a></li>' for i in range(3))
