@@ -89,7 +89,10 @@ RULES = (
 def estimate(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds a row, share rejected) on a sample of at most ``sample_rows`` rows, best ratio first."""
     spark = df.sparkSession
-    rows = [r[0] for r in df.select(F.col(text_col).cast("string")).orderBy(F.rand(7)).limit(sample_rows).collect()]
+    # The smallest random numbers are found without the texts, and only the texts that have them are fetched.
+    most = df.select(F.rand(7).alias("_r")).orderBy("_r").limit(sample_rows).agg(F.max("_r")).first()[0]
+    drawn = df.select(F.col(text_col).cast("string").alias("_t"), F.rand(7).alias("_r"))
+    rows = [] if most is None else [r[0] for r in drawn.filter(F.col("_r") <= most).limit(sample_rows).collect()]
     if not rows:
         return [(r, 1.0, 0.0) for r in rules]
     sample = spark.createDataFrame([(r,) for r in rows], f"`{text_col}` string").coalesce(1)
