@@ -3,6 +3,12 @@
 ``run(spark, sf_dir)`` applies the stages to ``documents``; each stage's result
 is written as Parquet to the shared folder and read again as the next one's
 input. All stages but the last return the columns of ``documents``.
+
+Defined cases, for every stage. A null text counts as empty; quality rules reject
+it, the other stages keep it. Rows without an id, and rows that share one, are
+judged each for itself, by their text. Exact repetitions of a row get the same
+verdict; the third stage keeps one of them. Other columns, of any name, are kept as
+they are and not read. Texts are read whole. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -47,7 +53,8 @@ STAGES = [
     ("BPE encoding and decoding", bpe_tokens),
 ]
 
-#: Not expressible in SQL: the toxicity, retrieval and encoding stages; tests hold run() against brute force.
+#: Not expressible in SQL: the toxicity, retrieval and encoding stages. Tests hold each stage's rows against a plain version
+#: of its verdicts, the toxicity model's own scores included.
 ORACLE_SQL = None
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from .functions.expr import Ordered, col, cols
@@ -234,13 +236,19 @@ class Frame:
     # User functions
 
     def map_rows(self, name: str, function: Callable[[dict], object], kind: str) -> Frame:
-        """A column from a function of each row as a dict; rows go to Python in Arrow batches."""
+        """A column from a function of each row as a dict; rows go to Python in Arrow batches. Nulls are None, and NaN is NaN."""
         names = self.columns
+        out = self._df.drop(name)
+        schema = StructType([*out.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+        target = to_arrow_type(schema.fields[-1].dataType)
+        kept = out.columns
 
-        def run(*series: pd.Series) -> pd.Series:
-            return pd.Series([function({n: None if v is pd.NA or (isinstance(v, float) and v != v) else v for n, v in zip(names, row, strict=True)}) for row in zip(*series, strict=True)])
+        def run(batches):
+            for batch in batches:
+                values = [function(dict(zip(names, row, strict=True))) for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(values, target, from_pandas=False)], [*kept, name])
 
-        return self._with(self._df.withColumn(name, F.pandas_udf(run, kind)(*cols(*names))))
+        return self._with(self._df.mapInArrow(run, schema))
 
     def map_batches(self, name: str, function: Callable[..., pd.Series], kind: str, *inputs: str) -> Frame:
         """A column from a function of batches of columns (row by row; batches are cut anywhere)."""
@@ -274,8 +282,35 @@ class Frame:
         return self.row(i)[name]
 
     def equals(self, other: Frame) -> bool:
-        """Same columns and types, and the same rows in order."""
-        return self.schema == other.schema and self.to_dicts() == other.to_dicts()
+        """Same columns and types, and the same rows: in order where the frames have one. NaN equals NaN, null null.
+
+        Rows are compared by Spark; of rows that tie in the order, any order will do.
+        """
+        if self.schema != other.schema or bool(self.order) != bool(other.order):
+            return False
+        a, b = self._df, other._df
+        if self.order:
+            # Rows come into line by number; where the keys themselves are compared, the rows alone say enough.
+            keyed = self.order == other.order and not self._hidden and not other._hidden
+            a, b = (x.df if keyed else ordered.number_rows(x._df, cols(*x.order), "__at").drop(*x._hidden) for x in (self, other))
+        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+    def __str__(self) -> str:
+        return self.to_string()
+
+    def to_string(self, most: int = 20, ends: int = 5) -> str:
+        """A table as text: names, types and all rows up to ``most``, else the first and last ``ends`` of them."""
+        names, height = self.columns, self.height
+        source = self._sorted().drop(*self._hidden)
+        text = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+        rows = [[text(v) for v in r] for r in (source.collect() if height <= most else source.take(ends))]
+        if height > most:
+            rows += [["..."] * len(names)] + [[text(v) for v in r] for r in source.tail(ends)]
+        head = [names, [f.dataType.simpleString() for f in self.schema.fields]]
+        width = [max(map(len, x)) for x in zip(*head, *rows, strict=True)]
+        line = lambda cells: "| " + " | ".join(c.ljust(w) for c, w in zip(cells, width, strict=True)) + " |"
+        rule = "+" + "+".join("-" * (w + 2) for w in width) + "+"
+        return "\n".join([f"shape: ({height}, {len(names)})", rule, *map(line, head), rule, *map(line, rows), rule])
 
     def show(self, n: int = 20) -> None:
         self._sorted().drop(*self._hidden).show(n)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -332,9 +333,32 @@ def over(aggregate: Column | str, *partition: str, of: Column | None = None) ->
 
 
 def n_unique_over(a: Column, *partition: str) -> Column:
-    """Distinct values of each row's partition (a window can't count distinct values itself)."""
+    """Distinct values of each row's partition, nulls not counted (a window can't count distinct values itself).
+
+    The last dense rank, from both ends: no set of values is held.
+    """
     w = Window.partitionBy(*cols(*partition))
-    return F.size(F.collect_set(a).over(w)).cast("long")
+    both = F.dense_rank().over(w.orderBy(a.asc())) + F.dense_rank().over(w.orderBy(a.desc())) - 1
+    return (both - F.max(a.isNull().cast("int")).over(w)).cast("long")
+
+
+def used_columns(df: DataFrame, expression: Column) -> list[str]:
+    """The columns of ``df`` that an expression reads, in the table's order; nothing is run."""
+    df.select(expression)  # a name that isn't there at all is an error
+
+    def missed(name: str) -> bool:
+        try:
+            df.drop(name).select(expression)
+        except AnalysisException:
+            return True
+        return False
+
+    return [c for c in df.columns if missed(c)]
+
+
+def is_constant(df: DataFrame, expression: Column) -> bool:
+    """Whether an expression reads no column of ``df``."""
+    return not used_columns(df, expression)
 
 
 @dataclass(frozen=True)

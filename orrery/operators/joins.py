@@ -65,10 +65,11 @@ def join(
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """An inner or left join whose left rows of one key are dealt out over ``salts`` tasks; right rows are repeated for each.
 
+    A row's salt is a hash of the row, the same whenever its task is run again.
     For keys known to be hot where adaptive execution is off; otherwise leave it to Spark's skew handling.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can salt the left side")
-    l = left.withColumn("__salt", F.floor(F.rand(1) * salts).cast("int"))  # noqa: E741
+    l = left.withColumn("__salt", F.pmod(F.xxhash64(*[col(c) for c in left.columns]), F.lit(salts)).cast("int"))  # noqa: E741
     r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [*on, "__salt"], how).drop("__salt")

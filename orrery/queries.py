@@ -516,11 +516,11 @@ def concat_horizontal(spark, sf_dir):
     return Frame(left, "c_custkey").concat_horizontal(Frame(right, "k")).df
 
 
-_A, _B = "SELECT n_regionkey AS k FROM nation WHERE n_nationkey < 15", "SELECT r_regionkey AS k FROM region WHERE r_regionkey > 0"
+_A, _B = "SELECT n_nationkey % 8 AS k FROM nation", "SELECT r_regionkey * 2 AS k FROM region"
 
 
 def _two(spark, sf_dir):
-    return table(spark, sf_dir, "nation").filter("n_nationkey < 15").select(col("n_regionkey").alias("k")), table(spark, sf_dir, "region").filter("r_regionkey > 0").select(col("r_regionkey").alias("k"))
+    return table(spark, sf_dir, "nation").select((col("n_nationkey") % 8).alias("k")), table(spark, sf_dir, "region").select((col("r_regionkey") * 2).alias("k"))
 
 
 @query(f"{_A} UNION {_B}")
@@ -533,21 +533,22 @@ def set_intersect(spark, sf_dir):
     return relational.intersect(*_two(spark, sf_dir))
 
 
-@query(f"{_B} EXCEPT SELECT n_regionkey FROM nation WHERE n_nationkey < 3")
+@query(f"{_B} EXCEPT {_A}")
 def set_except(spark, sf_dir):
     a, b = _two(spark, sf_dir)
-    return relational.except_(b, table(spark, sf_dir, "nation").filter("n_nationkey < 3").select(col("n_regionkey").alias("k")))
+    return relational.except_(b, a)
 
 
-# Joins; the keys have nulls, which match
+# Joins of whole tables; some keys are null, which match, and some have no partner
 
-_OC = "(SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS k, o_totalprice AS v FROM orders WHERE o_totalprice > 150000)"
-_CU = "(SELECT CASE WHEN c_custkey % 11 <> 0 OR c_custkey = 11 THEN nullif(c_custkey, 11) ELSE c_custkey END AS k, c_name, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 1)"
+_KEY = "CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_custkey % 5 = 0 THEN -o_custkey ELSE o_custkey END"
+_OC = f"(SELECT o_orderkey, {_KEY} AS k, o_totalprice AS v FROM orders)"
+_CU = "(SELECT nullif(c_custkey, 11) AS k, c_name, c_acctbal AS v FROM customer)"
 
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").filter("o_totalprice > 150000").select("o_orderkey", F.expr("CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END").alias("k"), col("o_totalprice").alias("v"))
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 1").select(F.expr("nullif(c_custkey, 11L)").alias("k"), "c_name", col("c_acctbal").alias("v"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_KEY).alias("k"), col("o_totalprice").alias("v"))
+    c = table(spark, sf_dir, "customer").select(F.expr("nullif(c_custkey, 11L)").alias("k"), "c_name", col("c_acctbal").alias("v"))
     return o, c
 
 

@@ -34,3 +34,26 @@ def single_file(spark: SparkSession, write: Callable[[str], None], path: str) ->
     if not fs.rename(part, target):
         raise OSError(f"{path} can't be written")
     fs.delete(p, True)
+
+
+def joined_file(spark: SparkSession, write: Callable[[str], None], path: str, head: bytes = b"", tail: bytes = b"", skip: int = 0) -> None:
+    """Let ``write`` make a folder of part files beside ``path``, then one file of their bytes in order, but for the first ``skip``."""
+    folder = f"{path}.{uuid.uuid4().hex}"
+    write(folder)
+    fs, p = _fs(spark, folder)
+    parts = sorted((s for s in fs.listStatus(p) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda s: s.getPath().getName())
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    out = fs.create(_fs(spark, path)[1], True)
+    try:
+        out.write(bytearray(head))
+        for s in parts:
+            source = fs.open(s.getPath())
+            try:
+                source.seek(skip if s is parts[0] else 0)
+                copy(source, out, 1 << 20, False)
+            finally:
+                source.close()
+        out.write(bytearray(tail))
+    finally:
+        out.close()
+    fs.delete(p, True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, DayTimeIntervalType, DoubleType, FloatType, MapType, NullType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
 from ..functions.expr import col
-from .files import single_file
+from .files import joined_file, single_file
 
 #: Objects whose keys tell the order of the columns.
 ORDER_ROWS = 100
@@ -75,10 +75,9 @@ def time_text(ns: Column) -> Column:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One array in one file, written from one task; for large tables write NDJSON."""
-    lines = encoded(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
-    array = lines.agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("value"))
-    single_file(df.sparkSession, lambda to: array.coalesce(1).write.text(to), path)
+    """One array in one file: objects are written in parallel, in parts, whose bytes are then copied one after another."""
+    objects = encoded(df).select(F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value"))
+    joined_file(df.sparkSession, lambda to: objects.write.text(to), path, b"[", b"]", skip=1)  # the first comma
 
 
 def write_ndjson(df: DataFrame, path: str, single: bool = False) -> None:

@@ -263,3 +263,38 @@ def test_plans(spark, people):
 
 def test_interrupted_by_tag(people):
     assert len(people.collect("some-tag")) == 4
+
+
+def test_map_rows_tells_nan_from_null(spark):
+    df = spark.createDataFrame([(1, float("nan"), None), (2, None, 7), (3, 1.5, 8)], "id long, x double, n long")
+    out = Frame(df, "id").map_rows("kind", lambda r: "null" if r["x"] is None else "nan" if r["x"] != r["x"] else "number", "string")
+    assert [r["kind"] for r in out.rows()] == ["nan", "null", "number"]
+    out = Frame(df, "id").map_rows("y", lambda r: r["x"], "double").map_rows("n", lambda r: None if r["n"] is None else r["n"] + 1, "long")
+    rows = out.to_dicts()
+    assert rows[0]["y"] != rows[0]["y"] and rows[1]["y"] is None and [r["n"] for r in rows] == [None, 8, 9] and out.columns == ["id", "x", "y", "n"]
+
+
+def test_equals_by_order_and_values(spark):
+    make = lambda xs: Frame.create(spark, {"x": ("double", xs), "s": ("string", ["a"] * len(xs))})
+    nan = float("nan")
+    assert make([1.0, nan, None]).equals(make([1.0, nan, None]))
+    assert not make([1.0, 2.0]).equals(make([2.0, 1.0])) and not make([1.0, 1.0]).equals(make([1.0]))
+    plain = lambda xs: Frame(spark.createDataFrame([(x,) for x in xs], "x long"))
+    assert plain([1, 2, 2]).equals(plain([2, 1, 2])) and not plain([1, 2, 2]).equals(plain([1, 1, 2]))
+    assert Frame(plain([3, 1]).df, "x").equals(Frame(plain([1, 3]).df, "x"))
+
+
+def test_table_as_text(spark):
+    few = Frame.create(spark, {"n": ("long", [1, None]), "ok": ("boolean", [True, False])})
+    assert str(few).splitlines() == ["shape: (2, 2)", "+--------+---------+", "| n      | ok      |", "| bigint | boolean |", "+--------+---------+", "| 1      | true    |", "| null   | false   |", "+--------+---------+"]
+    many = Frame(spark.range(100).toDF("i"), "i").to_string().splitlines()
+    assert [x.strip("| ") for x in many[5:-1]] == ["0", "1", "2", "3", "4", "...", "95", "96", "97", "98", "99"]
+
+
+def test_used_columns(spark):
+    df = spark.createDataFrame([(1, 2, "x")], "a long, `b.c` long, s string")
+    x = col("a") + col("b.c") * 2
+    assert E.used_columns(df, x) == ["a", "b.c"] and not E.is_constant(df, x)
+    assert E.used_columns(df, E.lit(5)) == [] and E.is_constant(df, E.lit(5))
+    with pytest.raises(Exception, match="nothing"):
+        E.used_columns(df, col("nothing"))

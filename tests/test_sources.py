@@ -131,3 +131,13 @@ def test_stream_of_files(spark, tmp_path):
     assert [r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [5]
     static = windows.sessions(df, "ts", "2 minutes", ["k"], F.count(F.lit(1)).alias("n"))
     assert [r["n"] for r in static.collect()] == [10]
+
+
+def test_json_array_of_many_parts(spark, tmp_path):
+    path = str(tmp_path / "many.json")
+    df = spark.range(0, 1000, 1, 7).selectExpr("id", "concat('a,\\n[', id) as s")
+    json.write_json(df, path)
+    import json as plain
+
+    assert plain.load(open(path)) == [{"id": i, "s": f"a,\n[{i}"} for i in range(1000)]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["many.json"]
