@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 from . import bpe, decontam, html, licences, lmscore, njaccard, quality, sharding, tokencount, toxicity
 from .common import documents
 
-#: Folder of the public tokenizers' files; set it where they are elsewhere.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+
+
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file: below ``TOKENIZER_DIR`` where that is set, else as the package of these files says."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_round_trip(documents(spark, sf_dir), BYTE_BPE)
+    return bpe.bpe_round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +59,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return tokencount.count_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
