@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import bpe, decontam, njaccard, quality, toxicity
 from orrery.llm.common import materialize
-from orrery.llm.queries import BYTE_BPE
+from orrery.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each remaining document's token count, and digests of its ids and of the text they decode to."""
-    return bpe.bpe_round_trip(docs, BYTE_BPE)
+    return bpe.bpe_round_trip(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [
