@@ -12,8 +12,8 @@ from tokenizers import Tokenizer
 from orrery.llm import bpe, html, licences, lmscore, quality, queries, tokencount
 from orrery.plans import inspect
 
-PATH = queries.BYTE_BPE
-RANKS = f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"
+PATH = queries.tokenizer("byte_bpe_50k.json")
+RANKS = queries.tokenizer("byte_bpe_50k.tiktoken")
 
 
 # BPE
