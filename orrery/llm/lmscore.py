@@ -1,202 +1,247 @@
 """Language-model scores by cross-entropy difference.
 
-Method. Two character n-gram models of the same order, smoothing and vocabulary
-are counted: the target model over the documents that the labels call good, the
+Method. Two word bigram models of the same order, smoothing and vocabulary are
+counted: the target model over the documents that the labels call good, the
 background model over all documents. A document's score is the mean over its
 tokens of the target's loss less the background's, so that a lower score means
 closer to the target.
 
-The vocabulary is every character of the corpus by its code point plus one; a gram of
-``ORDER`` = 3 such numbers of 21 bits fits a 63-bit key exactly, and nothing is
-cut off by frequency. Counts are summed within each task before they are
-exchanged, and grow with the corpus. A probability backs off from the longest
-context to the shorter ones by interpolation (Witten-Bell), down to a uniform
-one over the vocabulary.
-
-The table of grams is broadcast to the scoring tasks only if its counted size
-is below ``MOST_GRAMS``; beyond, the grams of each document are joined with it.
-
-Defined cases. Null and empty texts have no tokens and a score of 0. Without
-good documents the target is uniform over the vocabulary; an empty table gives
-an empty result. Repeated rows count as often as they occur. Only id and text
-are read, so other columns can't clash; several labels of a document make it good
-if one does.
+Between white space, a token is a run of ASCII punctuation or one of all other
+characters, as written; one mark begins and ends each document. The shared
+vocabulary is every token of the corpus; nothing is cut off by frequency, so the
+table of grams grows with the input. Tokens and bigrams are counted by 64-bit
+hashes. Every document is scored without its own counts, in either model that
+holds it, so that no model has seen what it scores. The counts ``k`` of both models
+are scaled to the target's size ``N``, so that what neither has seen costs the same
+in both. With the vocabulary's size ``V``:
+
+    p(w) = (k(w) + FLOOR) / (N + FLOOR V)        p(w | v) = (k(v w) + PRIOR p(w)) / (k(v) + PRIOR)
+
+Plan. Rows are written to the shared folder once, in blocks of ``BLOCK`` bytes of
+text. Each block sends every distinct gram once, packed by hash range; a task for
+each range adds the counts up and answers each block in the order of its grams;
+each block is then scored with its answers. A gram of every document costs one
+entry for each block, and no task holds more than one range or one block (or one
+longer text). Nothing but three sums reaches the driver, and nothing is broadcast
+but the good ids, if they are few.
+
+Defined cases. Null and empty texts, and those of white space, have no tokens and
+losses of 0. Without good documents both models are uniform over the vocabulary, and
+scores are 0; so is the target for its only document. An empty table gives an empty result. Repeated rows count as often as they occur, and
+each is scored without itself only. Only id and text are read, so other columns
+can't clash; several labels of a document make it good if one does. ``n_tokens``
+leaves the marks out; the losses are means over the tokens and the closing mark.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, small, text_of
 
-ORDER = 3
-#: Grams (of all lengths) whose table, some 60 bytes each, is broadcast at most.
-MOST_GRAMS = 1_500_000
-#: Characters that a task turns into grams at once.
+#: Counts by which a token's own frequency smooths the bigrams that end in it.
+PRIOR = 1000.0
+#: Count that each token of the vocabulary has beforehand.
+FLOOR = 0.1
+#: Bytes of text in a block, unless one text is longer.
+BLOCK = 8_000_000
+#: Bytes of tokens that are hashed at once, unless one token is longer.
 CHUNK = 1_000_000
 
+#: Class of each byte: 0 white space, 1 ASCII punctuation, 2 others.
+_CLASS = np.full(256, 2, np.int8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 1
+_MARK = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _MARK)
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token of the texts, and each text's number of tokens."""
+    encoded = [t.encode() for t in texts]
+    data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
+    kind = _CLASS[data]
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(kind)) + 1, [len(kind)]])
+    token = kind[edge[:-1]] > 0
+    start, end = edge[:-1][token], edge[1:][token]
+    bounds = np.cumsum([len(e) + 1 for e in encoded])
+    out = np.empty(len(start), np.uint64)
+    k = 0
+    while k < len(start):
+        to = max(k + 1, int(np.searchsorted(end, start[k] + CHUNK, "right")))
+        length = end[k:to] - start[k:to]
+        first = np.cumsum(length) - length
+        place = np.arange(int(length.sum())) - np.repeat(first, length)
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(length.max()), _MARK), dtype=np.uint64)
+            out[k:to] = mix(np.add.reduceat(_BYTES[data[np.repeat(start[k:to], length) + place]] * power[place], first))
+        k = to
+    return out, np.bincount(np.searchsorted(bounds, start, "right"), minlength=len(texts))
+
+
+class Events:
+    """The tokens of a block in order: for each its document, its gram of one word and its bigram."""
+
+    def __init__(self, texts: list[str]):
+        found, self.n_tokens = tokens(texts)
+        #: Documents with tokens, which alone have events.
+        self.docs = np.flatnonzero(self.n_tokens)
+        n = self.n_tokens[self.docs]
+        self.last = np.cumsum(n + 1) - 1
+        self.first = self.last - n
+        self.doc = np.repeat(self.docs, n + 1)
+        at = np.arange(len(found)) + np.repeat(np.arange(len(n)), n)
+        self.token, before = (np.full(len(self.doc), _MARK) for _ in range(2))
+        self.token[at], before[at + 1] = found, found
+        with np.errstate(over="ignore"):
+            self.pair = mix(before * np.uint64(0xD6E8FEB86659FD93) + mix(self.token))
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        """Each event's value of the event before it; that of the closing mark stands before a document's first."""
+        out = np.roll(values, 1)
+        out[self.first] = values[self.last]
+        return out
 
-def grams(text: str) -> list[np.ndarray]:
-    """Keys of the grams that end at each character, by length; the text starts after ORDER - 1 zero characters."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64) + 1  # 0 is the padding
-    padded = np.concatenate([np.zeros(ORDER - 1, np.int64), codes])
-    out, key = [], np.zeros(len(codes), np.int64)
-    for n in range(ORDER):
-        key = key | padded[ORDER - 1 - n : ORDER - 1 - n + len(codes)] << (21 * n)
-        out.append(key)
-    return out
 
+def pack(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte of equal weight, so that high bytes, mostly zero, compress away."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def count_grams(src: DataFrame) -> DataFrame:
-    """n, gram, good and total counts over rows of (t, good)."""
 
-    def run(batches):
-        held: dict[tuple[int, bool], list[np.ndarray]] = {}
-        size = 0
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
-        def flush():
-            for (n, good), parts in held.items():
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                c = pa.array(counts, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n), pa.int32()), pa.array(keys, pa.int64()), c if good else pa.array(np.zeros(len(keys), np.int64)), c], ["n", "gram", "good", "total"])
-            held.clear()
 
+def blocks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """block, id, good and text of every row, written to the shared folder."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct().withColumn("good", F.lit(True))
+    src = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).alias("t"))
+    src = src.join(small(good), F.col("id") == F.col("good_id"), "left")
+    src = src.select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce("good", F.lit(False)).alias("good"), "t")
+
+    def run(batches):
+        block, size = None, 0
         for batch in batches:
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k in range(0, len(text), CHUNK):
-                    # A chunk but the first begins with the context that precedes it.
-                    back = min(k, ORDER - 1)
-                    for n, keys in enumerate(grams(text[k - back : k + CHUNK])):
-                        held.setdefault((n, bool(good)), []).append(keys[back:])
-                    size += min(CHUNK, len(text) - k)
-                if size > 4 * CHUNK:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    return map_arrow(src, run, "n int, gram long, good long, total long").groupBy("n", "gram").agg(F.sum("good").alias("good"), F.sum("total").alias("total"))
-
-
-def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The shared table: n, gram, context, and counts of both models, written to the shared folder."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias(id_col)).distinct().withColumn("good", F.lit(True))
-    src = docs.select(id_col, text_of(docs, text_col).alias("t")).join(small(good), id_col, "left").select("t", F.coalesce("good", F.lit(False)).alias("good"))
-    return materialize(count_grams(src).withColumn("context", F.expr("shiftright(gram, 21)")), "grams")
-
-
-class Pair:
-    """Both models as sorted arrays: per length, the keys and for each model the log-ready counts."""
-
-    def __init__(self, table: list[tuple[np.ndarray, np.ndarray]]):
-        #: (keys, counts of shape (2, keys)) by length; model 0 is the target.
-        self.grams = table
-        self.contexts = []
-        for keys, counts in table:
-            # A gram's key holds its last character in the lowest bits, so a context is the key shifted down.
-            context = keys >> 21
-            cut = np.flatnonzero(np.r_[True, np.diff(context) != 0]) if len(keys) else np.empty(0, np.int64)
-            total = np.add.reduceat(counts, cut, axis=1) if len(cut) else np.zeros((2, 0))
-            kinds = np.add.reduceat((counts > 0).astype(np.int64), cut, axis=1) if len(cut) else np.zeros((2, 0))
-            self.contexts.append((context[cut], total, kinds))
-        self.vocabulary = max(1, len(table[0][0]))
-        #: Losses of all grams of the full length, of which each text's are looked up.
-        self.known = self._losses(table[-1][0])
-
-    def _losses(self, full: np.ndarray) -> np.ndarray:
-        """(2, grams): loss of the last character of each full gram, of the target and of the background."""
-        p = np.full((2, len(full)), 1.0 / self.vocabulary)
-        for n in range(ORDER):
-            keys, counts = self.grams[n]
-            contexts, total, kinds = self.contexts[n]
-            if not len(keys):
-                continue
-            gram = full & ((1 << (21 * (n + 1))) - 1)
-            at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-            c = np.where(keys[at] == gram, counts[:, at], 0)
-            at = np.minimum(np.searchsorted(contexts, gram >> 21), len(contexts) - 1)
-            known = contexts[at] == gram >> 21
-            t, k = np.where(known, total[:, at], 0), np.where(known, kinds[:, at], 0)
-            p = np.where(t > 0, (c + k * p) / np.maximum(t + k, 1), p)
-        return -np.log(p)
-
-    def losses(self, text: str) -> np.ndarray:
-        """Loss of each character, (2, characters)."""
-        full, keys = grams(text)[-1], self.grams[-1][0]
-        if not len(keys):
-            return self._losses(full)
-        at = np.minimum(np.searchsorted(keys, full), len(keys) - 1)
-        out = self.known[:, at]
-        new = np.flatnonzero(keys[at] != full)
-        if len(new):
-            out[:, new] = self._losses(full[new])
-        return out
+            numbers, sizes, out = batch.column(0).to_pylist(), pa.compute.binary_length(batch.column(3)).to_pylist(), []
+            for number, bytes_ in zip(numbers, sizes, strict=True):
+                if block is None or size + bytes_ > BLOCK:
+                    block, size = number, 0  # a block is named by its first row
+                size += bytes_
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *batch.columns[1:]], ["block", "id", "good", "t"])
 
+    return materialize(map_arrow(src, run, f"block long, id {dict(docs.dtypes)[id_col]}, good boolean, t string"), "blocks")
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``n_tokens``, ``target_loss``, ``background_loss`` (means) and ``score`` of every document."""
-    table = model(docs, labels, id_col, text_col)
-    src = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).alias("t"))
-    kind = dict(docs.dtypes)[id_col]
-    out = _score_broadcast(src, table, kind) if table.count() <= MOST_GRAMS else _score_join(src, table, kind)
-    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(F.lit(0.0))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), mean("target").alias("target_loss"), mean("background").alias("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
+def count_grams(held: DataFrame, bits: int) -> DataFrame:
+    """Per block, kind (0 tokens, 1 bigrams) and hash range: the sorted grams' differences, and counts in all and in good texts."""
 
-def _score_broadcast(src: DataFrame, table: DataFrame, kind: str) -> DataFrame:
-    columns = table.orderBy("n", "gram").select("n", "gram", "good", "total").toArrow()
-    n, gram, good, total = (columns.column(i).to_numpy() for i in range(4))
-    shared = src.sparkSession.sparkContext.broadcast(Pair([(gram[n == k], np.stack([good[n == k], total[n == k]])) for k in range(ORDER)]))
+    def run(table: pa.Table) -> pa.Table:
+        events = Events(table.column("t").to_pylist())
+        good = table.column("good").to_numpy()[events.doc].astype(bool)
+        rows = []
+        for kind, keys in enumerate((events.token, events.pair)):
+            grams, counts = np.unique(keys, return_counts=True)
+            target = np.bincount(np.searchsorted(grams, keys[good]), minlength=len(grams))
+            ranges = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+            for part in np.split(np.arange(len(grams)), np.flatnonzero(np.diff(ranges)) + 1):
+                if len(part):
+                    steps = np.diff(grams[part], prepend=np.uint64(0))
+                    rows.append((int(ranges[part[0]]), table.column("block")[0].as_py(), kind, pack(steps), pack(counts[part]), pack(target[part])))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _COUNTED.types, strict=True)], schema=_COUNTED)
 
-    def run(batches):
-        pair = shared.value
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                sums = np.zeros(2)
-                for k in range(0, len(text), CHUNK):
-                    back = min(k, ORDER - 1)
-                    sums += pair.losses(text[k - back : k + CHUNK])[:, back:].sum(axis=1)
-                rows.append((len(text), float(sums[0]), float(sums[1])))
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["id", "n", "target", "background"])
-
-    return map_arrow(src, run, f"id {kind}, n long, target double, background double")
-
-
-def gram_losses(table: DataFrame) -> DataFrame:
-    """gram (of the full length), and both models' losses, by joining each length with the one below."""
-    vocabulary = max(1, table.filter("n = 0").count())
-    p = None
-    for n in range(ORDER):
-        level = table.filter(f"n = {n}")
-        context = level.groupBy("context").agg(F.sum("good").alias("tg"), F.sum("total").alias("tt"), F.count_if(F.col("good") > 0).alias("kg"), F.count(F.lit(1)).alias("kt"))
-        level = level.join(context, "context")
-        shorter = F.expr(f"gram & {(1 << (21 * n)) - 1}L") if n else F.lit(0).cast("long")
-        if p is None:
-            level = level.withColumns({"pg0": F.lit(1.0 / vocabulary), "pt0": F.lit(1.0 / vocabulary)})
-        else:
-            level = level.withColumn("shorter", shorter).join(p.select(F.col("gram").alias("shorter"), F.col("pg").alias("pg0"), F.col("pt").alias("pt0")), "shorter")
-        p = level.select("gram", F.expr("if(tg > 0, (good + kg * pg0) / (tg + kg), pg0)").alias("pg"), F.expr("(total + kt * pt0) / (tt + kt)").alias("pt"))
-    return p.select("gram", (-F.log("pg")).alias("target"), (-F.log("pt")).alias("background"))
-
-
-def _score_join(src: DataFrame, table: DataFrame, kind: str) -> DataFrame:
-    """Without a broadcast: every gram of the corpus is in the table, so its losses are joined to each document's grams."""
+    return held.groupBy("block").applyInArrow(run, "range long, block long, kind int, steps binary, total binary, good binary")
 
-    def run(batches):
-        for batch in batches:
-            for row, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                for k in range(0, len(text), CHUNK):
-                    back = min(k, ORDER - 1)
-                    keys, counts = np.unique(grams(text[k - back : k + CHUNK])[-1][back:], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(keys), batch.column(0).type), pa.array(keys), pa.array(counts)], ["row", "gram", "c"])
-
-    # Rows are told apart by a number, so that repeated ids don't add up.
-    marked = materialize(src.withColumn("row", F.monotonically_increasing_id()), "rows")
-    parts = map_arrow(marked.select("row", "t"), run, "row long, gram long, c long").join(gram_losses(table), "gram")
-    sums = parts.groupBy("row").agg(F.sum(F.col("c") * F.col("target")).alias("target"), F.sum(F.col("c") * F.col("background")).alias("background"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return marked.select("id", "row", F.length("t").cast("long").alias("n")).join(sums, "row", "left").select("id", "n", zero("target"), zero("background"))
+
+_COUNTED = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("steps", pa.binary()), ("total", pa.binary()), ("good", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("range", pa.int64()), ("total", pa.binary()), ("good", pa.binary()), ("vocabulary", pa.int64()), ("n_total", pa.int64()), ("n_good", pa.int64())])
+
+
+def add_up(counted: DataFrame) -> DataFrame:
+    """The corpus's counts, for each block in the order of its grams; a row without block holds the range's sums of tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = []
+        for kind in (0, 1):
+            sent = [r for r in table.to_pylist() if r["kind"] == kind]
+            if not sent:
+                continue
+            held = [np.cumsum(unpack(r["steps"]), dtype=np.uint64) for r in sent]
+            grams, at = np.unique(np.concatenate(held), return_inverse=True)
+            sums = []
+            for c in ("total", "good"):
+                s = np.zeros(len(grams), np.int64)
+                np.add.at(s, at, np.concatenate([unpack(r[c]) for r in sent]).astype(np.int64))
+                sums.append(s)
+            cuts = np.cumsum([len(h) for h in held])[:-1]
+            for r, places in zip(sent, np.split(at, cuts), strict=True):
+                rows.append((r["block"], kind, r["range"], pack(sums[0][places]), pack(sums[1][places]), None, None, None))
+            if kind == 0:
+                rows.append((None, None, None, None, None, len(grams), int(sums[0].sum()), int(sums[1].sum())))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ANSWER.types, strict=True)], schema=_ANSWER)
+
+    schema = "block long, kind int, range long, total binary, good binary, vocabulary long, n_total long, n_good long"
+    return materialize(counted.groupBy("range").applyInArrow(run, schema), "grams")
+
+
+def losses(events: Events, good: np.ndarray, corpus: list[np.ndarray], n: tuple[int, int], vocabulary: int) -> np.ndarray:
+    """(2, events): loss of each token in the target and in the background model, without its document's own counts.
+
+    ``corpus`` holds, for tokens and for bigrams, the (2, grams) counts of the block's sorted grams; model 0 is the target.
+    """
+    count, own = [], []
+    for keys, counts in zip((events.token, events.pair), corpus, strict=True):
+        grams, at = np.unique(keys, return_inverse=True)
+        _, again, times = np.unique(events.doc * len(grams) + at, return_inverse=True, return_counts=True)
+        count.append(counts[:, at])
+        own.append(times[again])
+    length = (events.n_tokens + 1)[events.doc]
+    out = np.empty((2, len(events.doc)))
+    for model, held in enumerate((good[events.doc], np.ones(len(events.doc), bool))):
+        others = n[model] - length * held
+        size = np.where(others > 0, n[0], 0)
+        scale = size / np.maximum(others, 1)
+        one, two = (scale * (c[model] - o * held) for c, o in zip(count, own, strict=True))
+        p = (one + FLOOR) / (size + FLOOR * vocabulary)
+        out[model] = -np.log((two + PRIOR * p) / (events.before(one) + PRIOR))
+    return out
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ``n_tokens``, ``target_loss``, ``background_loss`` (means) and ``score`` of every document."""
+    held = blocks(docs, labels, id_col, text_col)
+    # As many ranges of hashes as there are blocks, so that both hold about the same.
+    bits = max(0, held.select("block").distinct().count() - 1).bit_length()
+    answers = add_up(count_grams(held, bits))
+    sums = answers.filter("block is null").agg(F.sum("vocabulary"), F.sum("n_total"), F.sum("n_good")).first()
+    vocabulary, n_total, n_good = (x or 0 for x in sums)
+    kind = held.schema["id"].dataType
+    schema = pa.schema([("n", pa.int64()), ("target", pa.float64()), ("background", pa.float64())])
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        events = Events(rows.column("t").to_pylist())
+        found = found.sort_by([("kind", "ascending"), ("range", "ascending")])
+        corpus = []
+        for k in (0, 1):
+            mine = found.filter(pa.compute.equal(found.column("kind"), k))
+            corpus.append(np.stack([np.concatenate([unpack(x) for x in mine.column(c).to_pylist()] or [np.empty(0, np.uint64)]).astype(np.int64) for c in ("good", "total")]))
+        lost = losses(events, rows.column("good").to_numpy().astype(bool), corpus, (n_good, n_total), vocabulary)
+        means = [np.bincount(events.doc, weights=x, minlength=rows.num_rows) / (events.n_tokens + 1) for x in lost]
+        sums = pa.Table.from_arrays([pa.array(events.n_tokens, pa.int64()), pa.array(means[0]), pa.array(means[1])], schema=schema)
+        return pa.Table.from_arrays([rows.column("id"), *sums.columns], ["id", "n", "target", "background"])
+
+    out = held.groupBy("block").cogroup(answers.filter("block is not null").groupBy("block")).applyInArrow(run, f"id {kind.simpleString()}, n long, target double, background double")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("target").alias("target_loss"), F.col("background").alias("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
