@@ -18,7 +18,7 @@ in both. With the vocabulary's size ``V``:
     p(w) = (k(w) + FLOOR) / (N + FLOOR V)        p(w | v) = (k(v w) + PRIOR p(w)) / (k(v) + PRIOR)
 
 Plan. Rows are written to the shared folder once, in blocks of ``BLOCK`` bytes of
-text. Each block sends every distinct gram once, packed by hash range; a task for
+text, which consist of compressed pieces. Each block sends every distinct gram once, packed by hash range; a task for
 each range adds the counts up and answers each block in the order of its grams;
 each block is then scored with its answers. A gram of every document costs one
 entry for each block, and no task holds more than one range or one block (or one
@@ -49,6 +49,8 @@ PRIOR = 1000.0
 FLOOR = 0.1
 #: Bytes of text in a block, unless one text is longer.
 BLOCK = 8_000_000
+#: Bytes of text that are compressed together, unless one text is longer.
+PIECE = 1_000_000
 #: Bytes of tokens that are hashed at once, unless one token is longer.
 CHUNK = 1_000_000
 
@@ -117,16 +119,32 @@ class Events:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """64-bit numbers byte by byte of equal weight, so that high bytes, mostly zero, compress away."""
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers, compressed byte by byte of equal weight, as high bytes are mostly zero; their number stands before them."""
+    data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    size = 8 * int.from_bytes(data[:8], "little")
+    flat = np.frombuffer(pa.decompress(data[8:], size, "zstd"), np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").ravel()
+
+
+def piece(rows: pa.RecordBatch) -> bytes:
+    """The rows as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def read_block(table: pa.Table) -> pa.Table:
+    """id, good and t of the rows of a block's pieces."""
+    return pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in table.column("piece").to_pylist())
 
 
 def blocks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """block, id, good and text of every row, written to the shared folder."""
+    """Every row's id, good and text, in pieces by block, written to the shared folder."""
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct().withColumn("good", F.lit(True))
     src = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).alias("t"))
     src = src.join(small(good), F.col("id") == F.col("good_id"), "left")
@@ -135,23 +153,33 @@ def blocks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Da
     def run(batches):
         block, size = None, 0
         for batch in batches:
-            numbers, sizes, out = batch.column(0).to_pylist(), pa.compute.binary_length(batch.column(3)).to_pylist(), []
-            for number, bytes_ in zip(numbers, sizes, strict=True):
-                if block is None or size + bytes_ > BLOCK:
+            start, held, out = 0, 0, []
+            numbers, lengths = batch.column(0).to_pylist(), pa.compute.binary_length(batch.column(3)).to_pylist()
+            for k, (number, length) in enumerate(zip(numbers, lengths, strict=True)):
+                full = block is None or size + length > BLOCK
+                if k > start and (full or held + length > PIECE):
+                    out.append((block, piece(rows(batch, start, k))))
+                    start, held = k, 0
+                if full:
                     block, size = number, 0  # a block is named by its first row
-                size += bytes_
-                out.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *batch.columns[1:]], ["block", "id", "good", "t"])
+                size, held = size + length, held + length
+            if batch.num_rows:
+                out.append((block, piece(rows(batch, start, batch.num_rows))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "piece"])
+
+    def rows(batch, start, end):
+        return pa.RecordBatch.from_arrays([c.slice(start, end - start) for c in batch.columns[1:]], ["id", "good", "t"])
 
-    return materialize(map_arrow(src, run, f"block long, id {dict(docs.dtypes)[id_col]}, good boolean, t string"), "blocks")
+    return materialize(map_arrow(src, run, "block long, piece binary"), "blocks")
 
 
 def count_grams(held: DataFrame, bits: int) -> DataFrame:
     """Per block, kind (0 tokens, 1 bigrams) and hash range: the sorted grams' differences, and counts in all and in good texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        events = Events(table.column("t").to_pylist())
-        good = table.column("good").to_numpy()[events.doc].astype(bool)
+        texts = read_block(table)
+        events = Events(texts.column("t").to_pylist())
+        good = texts.column("good").to_numpy()[events.doc].astype(bool)
         rows = []
         for kind, keys in enumerate((events.token, events.pair)):
             grams, counts = np.unique(keys, return_counts=True)
@@ -228,10 +256,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     answers = add_up(count_grams(held, bits))
     sums = answers.filter("block is null").agg(F.sum("vocabulary"), F.sum("n_total"), F.sum("n_good")).first()
     vocabulary, n_total, n_good = (x or 0 for x in sums)
-    kind = held.schema["id"].dataType
+    kind = dict(docs.dtypes)[id_col]
     schema = pa.schema([("n", pa.int64()), ("target", pa.float64()), ("background", pa.float64())])
 
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+    def run(pieces: pa.Table, found: pa.Table) -> pa.Table:
+        rows = read_block(pieces)
         events = Events(rows.column("t").to_pylist())
         found = found.sort_by([("kind", "ascending"), ("range", "ascending")])
         corpus = []
@@ -243,5 +272,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         sums = pa.Table.from_arrays([pa.array(events.n_tokens, pa.int64()), pa.array(means[0]), pa.array(means[1])], schema=schema)
         return pa.Table.from_arrays([rows.column("id"), *sums.columns], ["id", "n", "target", "background"])
 
-    out = held.groupBy("block").cogroup(answers.filter("block is not null").groupBy("block")).applyInArrow(run, f"id {kind.simpleString()}, n long, target double, background double")
+    out = held.groupBy("block").cogroup(answers.filter("block is not null").groupBy("block")).applyInArrow(run, f"id {kind}, n long, target double, background double")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("target").alias("target_loss"), F.col("background").alias("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
