@@ -51,6 +51,8 @@ FLOOR = 0.1
 BLOCK = 8_000_000
 #: Bytes of text that are compressed together, unless one text is longer.
 PIECE = 1_000_000
+#: Events whose losses are computed at once, unless one document has more.
+EVENTS = 250_000
 #: Bytes of tokens that are hashed at once, unless one token is longer.
 CHUNK = 1_000_000
 
@@ -111,11 +113,13 @@ class Events:
         with np.errstate(over="ignore"):
             self.pair = mix(before * np.uint64(0xD6E8FEB86659FD93) + mix(self.token))
 
-    def before(self, values: np.ndarray) -> np.ndarray:
-        """Each event's value of the event before it; that of the closing mark stands before a document's first."""
-        out = np.roll(values, 1)
-        out[self.first] = values[self.last]
-        return out
+    def groups(self):
+        """Runs of whole documents of ``EVENTS`` events, unless one has more: the events' slice, and each document's first and last in it."""
+        a = 0
+        while a < len(self.docs):
+            b = max(a + 1, int(np.searchsorted(self.last, self.first[a] + EVENTS)))
+            yield slice(self.first[a], self.last[b - 1] + 1), self.first[a:b] - self.first[a], self.last[a:b] - self.first[a]
+            a = b
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -230,21 +234,27 @@ def losses(events: Events, good: np.ndarray, corpus: list[np.ndarray], n: tuple[
 
     ``corpus`` holds, for tokens and for bigrams, the (2, grams) counts of the block's sorted grams; model 0 is the target.
     """
-    count, own = [], []
-    for keys, counts in zip((events.token, events.pair), corpus, strict=True):
+    found = []
+    for keys in (events.token, events.pair):
         grams, at = np.unique(keys, return_inverse=True)
-        _, again, times = np.unique(events.doc * len(grams) + at, return_inverse=True, return_counts=True)
-        count.append(counts[:, at])
-        own.append(times[again])
-    length = (events.n_tokens + 1)[events.doc]
+        found.append((len(grams), at.astype(np.int32)))
     out = np.empty((2, len(events.doc)))
-    for model, held in enumerate((good[events.doc], np.ones(len(events.doc), bool))):
-        others = n[model] - length * held
-        size = np.where(others > 0, n[0], 0)
-        scale = size / np.maximum(others, 1)
-        one, two = (scale * (c[model] - o * held) for c, o in zip(count, own, strict=True))
-        p = (one + FLOOR) / (size + FLOOR * vocabulary)
-        out[model] = -np.log((two + PRIOR * p) / (events.before(one) + PRIOR))
+    for part, first, last in events.groups():
+        doc, own = events.doc[part], []
+        for kinds, at in found:
+            _, again, times = np.unique(doc * kinds + at[part], return_inverse=True, return_counts=True)
+            own.append(times[again])
+        length = (events.n_tokens + 1)[doc]
+        for model, held in enumerate((good[doc], np.ones(len(doc), bool))):
+            others = n[model] - length * held
+            size = np.where(others > 0, n[0], 0)
+            scale = size / np.maximum(others, 1)
+            one, two = (scale * (c[model][at[part]] - o * held) for c, (_, at), o in zip(corpus, found, own, strict=True))
+            p = (one + FLOOR) / (size + FLOOR * vocabulary)
+            # The token before the first is the closing mark's twin.
+            before = np.roll(one, 1)
+            before[first] = one[last]
+            out[model, part] = -np.log((two + PRIOR * p) / (before + PRIOR))
     return out
 
 

@@ -338,6 +338,7 @@ def test_lm_scores(spark, monkeypatch, block, chunk):
     monkeypatch.setattr(lmscore, "CHUNK", chunk)
     monkeypatch.setattr(lmscore, "BLOCK", block)
     monkeypatch.setattr(lmscore, "PIECE", chunk)
+    monkeypatch.setattr(lmscore, "EVENTS", chunk)
     docs = [(1, "the cat sat on the mat"), (2, ""), (3, "the dog, \u00e9\U0001f600!! (x)_y 3.5"), (4, "zzzz zz\tzz  zz zz"), (5, "the mat of\nthe cat"), (6, "the cat sat on the mat"), (8, " \n "), (9, "the")]
     df = spark.createDataFrame([*docs, (7, None)], "doc_id long, text string")
     good = spark.createDataFrame([(1, 1), (5, 1), (5, 0), (3, 0), (None, 1)], "doc_id long, quality int")
