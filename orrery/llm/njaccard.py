@@ -12,7 +12,9 @@ a partition: the coordinates are cut into more blocks than the shingles in
 which two linked documents can differ, so that at least one block of counts
 must be equal, and that block is the cell where they meet (for blocks this fine
 grouping, each hash is a group of its own). A document with so few filled
-blocks that only empty ones might agree also meets others of its kind by these.
+blocks that only empty ones might agree with a partner's also meets others of its
+kind by these; a partner of the next size class has empty blocks of its own, where
+only documents of different classes are compared.
 
 Cells that hold one document only are left out first: a task sends each key once,
 packed into seven bytes with the document's number, to the bucket of its first
@@ -24,7 +26,10 @@ A first search looks into ``FEW`` cells of each document, a cell of more than
 of which each document tries one. A second search emits all surviving pairs whose
 ends are still in different components, from all cells that hold such; there
 a large cell is cut by component, and two parts of one component don't meet. So no link
-between different components is lost and copies aren't expanded.
+between different components is lost and copies aren't expanded. Two documents
+may share hundreds of cells: each brings along the ``FIRST`` smallest keys of its
+cells, and a pair that has one of these in common is emitted in the cell of the
+smallest such only.
 
 Defined cases. Null and empty texts have no shingles and link with nothing; a
 text with fewer words than a shingle is one shingle. Every row is a document of its
@@ -55,6 +60,8 @@ LEAF = 64
 CELL = 2048
 #: Cells of a document in the first search.
 FEW = 8
+#: Cells of a document, by key, that it names in every other of its cells.
+FIRST = 16
 #: Documents whose sets one task compares with a document, or with as many others.
 BLOCK = 64
 #: Bits of a cell's key, bytes of it within a bucket of the count, and entries that a task packs at once.
@@ -101,12 +108,21 @@ def blocks(n: int, percent: int) -> list[tuple[int, int]]:
     return [(top, (top - 1) * (100 - percent) // percent + 2) for top in tops]
 
 
+def apart(n: int, other: int, percent: int) -> int:
+    """The most shingles in which linked sets of these sizes differ."""
+    return (n + other) * (100 - percent) // (100 + percent)
+
+
 def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of the cells in which the set's partners can be found."""
+    """The keys of the cells in which the set's partners can be found; odd ones are for partners of another size class only.
+
+    If two sets agree in empty blocks only, they differ in every block that one
+    of them fills, so neither fills more than the shingles in which they can differ.
+    """
     n, out = len(s), []
-    differ = n * (100 - percent) // percent
-    if not differ:
+    if not n * (100 - percent) // percent:
         return np.empty(0, np.int64)
+    most = n * 100 // percent
     value = _mix(s + _U(0x632BE59BD9B4E019))
     for top, m in blocks(n, percent):
         salt = _U(top * 0x9E3779B97F4A7C15 % (1 << 64))
@@ -115,11 +131,15 @@ def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
         filled, starts = np.unique(at[order], return_index=True)
         content = np.add.reduceat(value[order], starts)
         where = _mix(filled.astype(np.uint64) + salt)
-        out.append(_mix(where ^ content))
-        if len(filled) <= differ:
+        out.append(_mix(where ^ content) >> _U(64 - KEY_BITS) & ~_U(1))
+        # Partners are looked for in the class of the smaller set, which has up to top - 1 shingles.
+        within = n < top and len(filled) <= apart(n, min(top - 1, most), percent)
+        across = max(n, most) >= top and len(filled) <= apart(n, most if n < top else top - 1, percent)
+        if within or across:
             empty = np.setdiff1d(np.arange(m), filled).astype(np.uint64)
-            out.append(_mix(_mix(empty + salt) ^ _U(0x5851F42D4C957F2D)))
-    return (np.concatenate(out) >> _U(64 - KEY_BITS)).astype(np.int64)
+            empty = _mix(_mix(empty + salt) ^ _U(0x5851F42D4C957F2D)) >> _U(64 - KEY_BITS)
+            out += [empty & ~_U(1)] * within + [empty | _U(1)] * across
+    return np.concatenate(out).astype(np.int64)
 
 
 def point_of(s: np.ndarray) -> bytes:
@@ -333,6 +353,18 @@ def forest(may: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield u, v
 
 
+def fresh_pairs(may: np.ndarray, key: int, low: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """The pairs of a cell without those that an earlier cell emits.
+
+    low: of each document the smallest even keys of its cells. One that two documents both
+    name is that of a cell which they share, and the smallest such cell emits them.
+    """
+    named = {i: {k for k in low[i] if key & 1 or k < key} for i in np.flatnonzero(may.any(axis=0) | may.any(axis=1)).tolist()}
+    for i, j in zip(*(x.tolist() for x in np.nonzero(may)), strict=True):
+        if named[i].isdisjoint(named[j]):
+            yield i, j
+
+
 def _cells(batches) -> Iterator[dict[str, list]]:
     """The rows of each cell, from rows sorted by cell."""
     held: dict[str, list] = {}
@@ -354,7 +386,10 @@ def _cells(batches) -> Iterator[dict[str, list]]:
 
 
 def search(cells: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b) that may be linked: a spanning forest of each cell, or ``every`` one between components."""
+    """Pairs (a, b) that may be linked: a spanning forest of each cell, or ``every`` one between components.
+
+    For the latter, cells also have low, the ``FIRST`` smallest even keys of a document's cells.
+    """
 
     def run(batches):
         a, b = [], []
@@ -364,9 +399,13 @@ def search(cells: DataFrame, percent: int, every: bool) -> DataFrame:
             cell, label = {k: [v[i] for i in order] for k, v in cell.items()}, label[order]
             if len(label) < 2 or (label == label[0]).all():
                 continue
-            may = RTree(points_of(cell["point"]), np.array(cell["n"]), percent).adjacency()
+            sizes = np.array(cell["n"])
+            may = RTree(points_of(cell["point"]), sizes, percent).adjacency()
+            if cell["key"][0] & 1:
+                of = np.frexp(sizes)[1]  # the size class
+                may &= of[:, None] != of[None, :]
             rows = cell["r"]
-            pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(may & (label[:, None] != label[None, :])))), strict=True) if every else forest(may)
+            pairs = fresh_pairs(np.triu(may & (label[:, None] != label[None, :])), cell["key"][0], cell["low"]) if every else forest(may)
             for i, j in pairs:
                 a.append(min(rows[i], rows[j]))
                 b.append(max(rows[i], rows[j]))
@@ -375,7 +414,7 @@ def search(cells: DataFrame, percent: int, every: bool) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = cells.select("key", "part", "r", "n", "label", "point").repartition("key", "part").sortWithinPartitions("key", "part")
+    dealt = cells.select("key", "part", "r", "n", "label", "point", *["low"] * every).repartition("key", "part").sortWithinPartitions("key", "part")
     return map_arrow(dealt, run, "a long, b long").filter("a < b").distinct()
 
 
@@ -480,7 +519,8 @@ def components(df: DataFrame, width: int, percent: int, id_col: str, text_col: s
     labels = materialize(connected_components(links), "labels")
 
     labelled = cells.join(small(labels.withColumnRenamed("id", "r")), "r", "left").withColumn("label", F.coalesce("label", "r"))
-    labelled = labelled.select("r", "n", "point", "label", F.explode("keys").alias("key"))
+    low = F.slice(F.filter("keys", lambda k: k % 2 == 0), 1, FIRST).alias("low")
+    labelled = labelled.select("r", "n", "point", "label", low, F.explode("keys").alias("key"))
     mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key"), "mixed")
     # A search passes over cells of one label; where these can be told by a broadcast, they aren't sent to it.
     still = labelled.join(F.broadcast(mixed), "key", "left_semi") if mixed.count() <= BROADCAST_ROWS else labelled

@@ -106,6 +106,61 @@ def test_blocks_always_share_one(seed=9):
             assert set(njaccard.cell_keys(a, percent).tolist()) & set(njaccard.cell_keys(b, percent).tolist())
 
 
+def meet(a, b, percent):
+    """Whether two sets share a cell in which they are compared."""
+    shared = set(njaccard.cell_keys(a, percent).tolist()) & set(njaccard.cell_keys(b, percent).tolist())
+    return any(k % 2 == 0 for k in shared) or (bool(shared) and len(a).bit_length() != len(b).bit_length())
+
+
+def test_linked_sets_are_compared_within_and_across_size_classes(seed=4):
+    rng = np.random.default_rng(seed)
+    across = 0
+    for percent in (30, 60, 80, 90):
+        for n in [*range(2, 140), *(int(x) for x in rng.integers(2, 3000, 150)), *range(255, 330, 3), *range(1010, 1290, 9)]:
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            if rng.random() < 0.3:
+                a = a // np.uint64(16) * np.uint64(16)  # few blocks are filled
+            a = np.unique(a)
+            other = np.setdiff1d(rng.integers(0, 2**63, n, dtype=np.uint64), a)
+            keep = int(rng.integers(percent * len(a) // 100, len(a) + 1))
+            most = keep * 100 // percent - len(a)  # other shingles that leave a link
+            if keep < 1 or most < 0:
+                continue
+            b = np.sort(np.concatenate([rng.choice(a, keep, replace=False), other[: min(most, len(other))]]))
+            both = len(np.intersect1d(a, b))
+            assert 100 * both >= percent * (len(a) + len(b) - both)
+            assert np.array_equal(a, b) or meet(a, b, percent)
+            across += len(a).bit_length() != len(b).bit_length()
+    assert across > 50
+
+
+def test_unrelated_long_sets_do_not_meet(seed=6):
+    """From 8,192 shingles on, all sets of a class met by its empty blocks."""
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rng.integers(8192, 9800, 20)]
+    assert not any(meet(a, b, 80) for i, a in enumerate(sets) for b in sets[:i])
+
+
+def test_a_pair_that_shares_many_cells_is_emitted_once(seed=2):
+    """In each of its cells, before: some 50 times the pairs."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 800, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 700, replace=False), rng.integers(0, 2**63, 90, dtype=np.uint64)])) for _ in range(30)]
+    keys = [sorted(njaccard.cell_keys(s, 80).tolist()) for s in sets]
+    low = [[k for k in ks if k % 2 == 0][: njaccard.FIRST] for ks in keys]
+    cells = collections.defaultdict(list)
+    for i, ks in enumerate(keys):
+        for k in ks:
+            cells[k].append(i)
+    made, shared = collections.Counter(), set()
+    for key, rows in cells.items():
+        may = np.triu(np.ones((len(rows), len(rows)), bool), 1)
+        shared |= {(a, b) for n, a in enumerate(rows) for b in rows[n + 1 :]}
+        made.update((rows[i], rows[j]) for i, j in njaccard.fresh_pairs(may, key, [low[r] for r in rows]))
+    assert set(made) == shared and len(shared) > 400
+    assert sum(made.values()) < 8 * len(shared) < sum(len(r) * (len(r) - 1) // 2 for r in cells.values())
+
+
 def test_tree_drops_no_pair_that_may_be_linked(monkeypatch):
     monkeypatch.setattr(njaccard, "LEAF", 4)
     rng = np.random.default_rng(3)
