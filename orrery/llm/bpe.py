@@ -18,7 +18,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -136,11 +136,16 @@ class Tables:
         return b"".join([self.token_bytes[i] for i in ids]).decode("utf-8", "replace")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class Encoder:
-    """Encodes texts with a bounded memory of pre-tokens that were encoded before."""
+    """Encodes texts with a bounded memory of pre-tokens that were encoded before, whose ids are kept as bytes."""
 
     def __init__(self, tables: Tables):
-        self.tables, self.known = tables, {}
+        self.tables = tables
+        self.known: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
@@ -148,9 +153,14 @@ class Encoder:
         new = [w for w in words if w not in self.known]
         for w in new:
             if w in self.tables.specials:
-                self.known[w] = [self.tables.specials[w]]
+                self.known[w] = _packed([self.tables.specials[w]])
         new = [w for w in new if w not in self.tables.specials]
-        self.known.update(zip(new, self.tables.encode_words([w.encode() for w in new]), strict=True))
+        self.known.update(zip(new, map(_packed, self.tables.encode_words([w.encode() for w in new])), strict=True))
+
+    def ids(self, words: list[str]) -> list[int]:
+        """The ids of learned pre-tokens, in order."""
+        known = self.known
+        return np.frombuffer(b"".join([known[w] for w in words]), np.int32).tolist()
 
     def slices(self, text: str) -> Iterator[list[str]]:
         words = self.tables.pre_tokens(text)
@@ -161,18 +171,25 @@ class Encoder:
         """The ids of a text, slice by slice."""
         for part in self.slices(text):
             self.learn(set(part))
-            known = self.known
-            yield [i for w in part for i in known[w]]
+            yield self.ids(part)
 
-    def encode_group(self, texts: list[str]) -> list[list[int]]:
-        """The ids of some short texts whose new pre-tokens are merged in the same rounds."""
+    def encode_each(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of some short texts, one by one, whose new pre-tokens are merged in the same rounds."""
         cut = [list(self.tables.pre_tokens(t)) for t in texts]
         self.learn({w for part in cut for w in part})
-        known = self.known
-        return [[i for w in part for i in known[w]] for part in cut]
+        return map(self.ids, cut)
+
+    def encode_group(self, texts: list[str]) -> list[list[int]]:
+        return list(self.encode_each(texts))
+
+
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str]:
+    """The texts of a column, of which some are taken out of it at once."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
 
 
-def grouped(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
+def grouped(texts: Iterable[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
     """Neighbouring texts of ``most`` characters together; a longer one stands alone."""
     group, size = [], 0
     for t in texts:
@@ -204,7 +221,7 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         encoder = Encoder(shared.value)
         for batch in batches:
             out = []
-            for group in grouped(batch.column(1).to_pylist()):
+            for group in grouped(texts_of(batch.column(1))):
                 out += encoder.encode_group(group) if sum(map(len, group)) <= GROUP_CHARS else [[i for part in encoder.encode(group[0]) for i in part]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], [id_col, "ids"])
 
@@ -238,9 +255,9 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         encoder, names = Encoder(tables), [str(i) for i in range(tables.width)]
         for batch in batches:
             out = []
-            for group in grouped(batch.column(1).to_pylist()):
+            for group in grouped(texts_of(batch.column(1))):
                 if sum(map(len, group)) <= GROUP_CHARS:
-                    out += [_digest(iter([ids]), tables, names) for ids in encoder.encode_group(group)]
+                    out += [_digest(iter([ids]), tables, names) for ids in encoder.encode_each(group)]
                 else:
                     out.append(_digest(encoder.encode(group[0]), tables, names))
             n, a, b = zip(*out, strict=True) if out else ((), (), ())

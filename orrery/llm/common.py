@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,25 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker is kept for later stages, and what it holds on to adds to theirs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        return
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` over batches, giving back its memory when it ends."""
+
+    def all_batches(batches) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return all_batches
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)``, with this package on the path of local Python workers.
 
@@ -73,7 +94,7 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def text_of(df: DataFrame, text: str = "text") -> Column:

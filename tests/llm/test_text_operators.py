@@ -56,6 +56,18 @@ def test_bpe_of_random_strings(tables, library):
     assert [tables.decode(x) for x in ids] == texts
 
 
+def test_known_pre_tokens_take_bytes_and_texts_come_one_by_one():
+    """Before, each remembered id was a number object of its own, and a batch's texts were all taken out at once."""
+    import pyarrow as pa
+
+    encoder = bpe.Encoder(bpe.Tables.load(queries.tokenizer("byte_bpe_50k.json")))
+    texts = ["the words of a text", "", "another text<|endoftext|>"]
+    assert encoder.encode_group(texts) == list(encoder.encode_each(texts)) == [[i for part in encoder.encode(t) for i in part] for t in texts]
+    assert encoder.known and all(isinstance(x, bytes) for x in encoder.known.values())
+    column = pa.array([str(i) for i in range(1000)])
+    assert list(bpe.texts_of(column.slice(3, 700))) == column.slice(3, 700).to_pylist()
+
+
 def test_bpe_in_slices_and_with_forgetting(tables, library, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE", 5)
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
