@@ -17,13 +17,16 @@ in both. With the vocabulary's size ``V``:
 
     p(w) = (k(w) + FLOOR) / (N + FLOOR V)        p(w | v) = (k(v w) + PRIOR p(w)) / (k(v) + PRIOR)
 
-Plan. Rows are written to the shared folder once, in blocks of ``BLOCK`` bytes of
-text, which consist of compressed pieces. Each block sends every distinct gram once, packed by hash range; a task for
-each range adds the counts up and answers each block in the order of its grams;
-each block is then scored with its answers. A gram of every document costs one
-entry for each block, and no task holds more than one range or one block (or one
-longer text). Nothing but three sums reaches the driver, and nothing is broadcast
-but the good ids, if they are few.
+Plan. Texts are written to the shared folder once, in blocks of ``BLOCK`` bytes, each
+one row of compressed pieces. Where it lies, each block is counted and sends every
+distinct gram once, packed by hash range; a task for each range adds the counts up
+and answers each block in the order of its grams; each block is then scored with its
+answers. Only this last step sends texts, so that their copies on disk are two. A gram
+of every document costs one entry for each block, and no task holds more than one
+range or one block (or one longer text). Each range is of one kind of gram and holds
+that of several blocks, as a row for each block and range has a cost of its own.
+Nothing but three sums reaches the driver, and nothing is broadcast but the good ids,
+if they are few.
 
 Defined cases. Null and empty texts, and those of white space, have no tokens and
 losses of 0. Without good documents both models are uniform over the vocabulary, and
@@ -51,6 +54,10 @@ FLOOR = 0.1
 BLOCK = 8_000_000
 #: Bytes of text that are compressed together, unless one text is longer.
 PIECE = 1_000_000
+#: Level of zstd for texts; each is written to disk twice, which costs more than the time.
+LEVEL = 6
+#: Binary digits by which there are fewer hash ranges of bigrams than blocks, and fewer of tokens than of bigrams.
+WIDER = 2
 #: Events whose losses are computed at once, unless one document has more.
 EVENTS = 250_000
 #: Bytes of tokens that are hashed at once, unless one token is longer.
@@ -134,68 +141,74 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").ravel()
 
 
-def piece(rows: pa.RecordBatch) -> bytes:
-    """The rows as a compressed Arrow stream."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(rows)
-    return sink.getvalue().to_pybytes()
-
-
-def read_block(table: pa.Table) -> pa.Table:
-    """id, good and t of the rows of a block's pieces."""
-    return pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in table.column("piece").to_pylist())
+def read_block(data: pa.Scalar) -> pa.Table:
+    """id, good and t of the rows of a block."""
+    return pa.ipc.open_stream(data.as_buffer()).read_all()
 
 
 def blocks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every row's id, good and text, in pieces by block, written to the shared folder."""
+    """Every row's id, good and text, as one compressed Arrow stream for each block, written to the shared folder."""
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct().withColumn("good", F.lit(True))
     src = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).alias("t"))
     src = src.join(small(good), F.col("id") == F.col("good_id"), "left")
     src = src.select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce("good", F.lit(False)).alias("good"), "t")
 
     def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
         block, size = None, 0
         for batch in batches:
-            start, held, out = 0, 0, []
+            start, held = 0, 0
             numbers, lengths = batch.column(0).to_pylist(), pa.compute.binary_length(batch.column(3)).to_pylist()
             for k, (number, length) in enumerate(zip(numbers, lengths, strict=True)):
                 full = block is None or size + length > BLOCK
                 if k > start and (full or held + length > PIECE):
-                    out.append((block, piece(rows(batch, start, k))))
+                    out.write_batch(rows(batch, start, k))
                     start, held = k, 0
                 if full:
-                    block, size = number, 0  # a block is named by its first row
+                    if block is not None:
+                        yield ended(block, sink, out)
+                    block, size, sink = number, 0, pa.BufferOutputStream()  # a block is named by its first row
+                    out = pa.ipc.new_stream(sink, rows(batch, 0, 0).schema, options=options)
                 size, held = size + length, held + length
             if batch.num_rows:
-                out.append((block, piece(rows(batch, start, batch.num_rows))))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "piece"])
+                out.write_batch(rows(batch, start, batch.num_rows))
+        if block is not None:
+            yield ended(block, sink, out)
 
     def rows(batch, start, end):
         return pa.RecordBatch.from_arrays([c.slice(start, end - start) for c in batch.columns[1:]], ["id", "good", "t"])
 
-    return materialize(map_arrow(src, run, "block long, piece binary"), "blocks")
+    def ended(block, sink, out):
+        out.close()
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "pieces"])
+
+    return materialize(map_arrow(src, run, "block long, pieces binary"), "blocks")
 
 
 def count_grams(held: DataFrame, bits: int) -> DataFrame:
-    """Per block, kind (0 tokens, 1 bigrams) and hash range: the sorted grams' differences, and counts in all and in good texts."""
+    """Per block, kind (0 tokens, 1 bigrams) and hash range, of ``bits`` binary digits for bigrams: the sorted grams' differences, and counts in all and in good texts."""
 
-    def run(table: pa.Table) -> pa.Table:
-        texts = read_block(table)
+    def run(batches):
+        for batch in batches:
+            for block, pieces in zip(*batch.columns, strict=True):
+                yield count(block.as_py(), read_block(pieces))
+
+    def count(block: int, texts: pa.Table) -> pa.RecordBatch:
         events = Events(texts.column("t").to_pylist())
         good = texts.column("good").to_numpy()[events.doc].astype(bool)
         rows = []
-        for kind, keys in enumerate((events.token, events.pair)):
+        for kind, (keys, bits) in enumerate(((events.token, token_bits), (events.pair, pair_bits))):
             grams, counts = np.unique(keys, return_counts=True)
             target = np.bincount(np.searchsorted(grams, keys[good]), minlength=len(grams))
             ranges = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
             for part in np.split(np.arange(len(grams)), np.flatnonzero(np.diff(ranges)) + 1):
                 if len(part):
                     steps = np.diff(grams[part], prepend=np.uint64(0))
-                    rows.append((int(ranges[part[0]]), table.column("block")[0].as_py(), kind, pack(steps), pack(counts[part]), pack(target[part])))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _COUNTED.types, strict=True)], schema=_COUNTED)
+                    rows.append((int(ranges[part[0]]), block, kind, pack(steps), pack(counts[part]), pack(target[part])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _COUNTED.types, strict=True)], schema=_COUNTED)
 
-    return held.groupBy("block").applyInArrow(run, "range long, block long, kind int, steps binary, total binary, good binary")
+    pair_bits, token_bits = bits, max(0, bits - WIDER)
+    return map_arrow(held, run, "range long, block long, kind int, steps binary, total binary, good binary")
 
 
 _COUNTED = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("steps", pa.binary()), ("total", pa.binary()), ("good", pa.binary())])
@@ -206,27 +219,24 @@ def add_up(counted: DataFrame) -> DataFrame:
     """The corpus's counts, for each block in the order of its grams; a row without block holds the range's sums of tokens."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = []
-        for kind in (0, 1):
-            sent = [r for r in table.to_pylist() if r["kind"] == kind]
-            if not sent:
-                continue
-            held = [np.cumsum(unpack(r["steps"]), dtype=np.uint64) for r in sent]
-            grams, at = np.unique(np.concatenate(held), return_inverse=True)
-            sums = []
-            for c in ("total", "good"):
-                s = np.zeros(len(grams), np.int64)
-                np.add.at(s, at, np.concatenate([unpack(r[c]) for r in sent]).astype(np.int64))
-                sums.append(s)
-            cuts = np.cumsum([len(h) for h in held])[:-1]
-            for r, places in zip(sent, np.split(at, cuts), strict=True):
-                rows.append((r["block"], kind, r["range"], pack(sums[0][places]), pack(sums[1][places]), None, None, None))
-            if kind == 0:
-                rows.append((None, None, None, None, None, len(grams), int(sums[0].sum()), int(sums[1].sum())))
+        rows, sent = [], table.to_pylist()
+        kind = sent[0]["kind"]
+        held = [np.cumsum(unpack(r["steps"]), dtype=np.uint64) for r in sent]
+        grams, at = np.unique(np.concatenate(held), return_inverse=True)
+        sums = []
+        for c in ("total", "good"):
+            s = np.zeros(len(grams), np.int64)
+            np.add.at(s, at, np.concatenate([unpack(r[c]) for r in sent]).astype(np.int64))
+            sums.append(s)
+        cuts = np.cumsum([len(h) for h in held])[:-1]
+        for r, places in zip(sent, np.split(at, cuts), strict=True):
+            rows.append((r["block"], kind, r["range"], pack(sums[0][places]), pack(sums[1][places]), None, None, None))
+        if kind == 0:
+            rows.append((None, None, None, None, None, len(grams), int(sums[0].sum()), int(sums[1].sum())))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ANSWER.types, strict=True)], schema=_ANSWER)
 
     schema = "block long, kind int, range long, total binary, good binary, vocabulary long, n_total long, n_good long"
-    return materialize(counted.groupBy("range").applyInArrow(run, schema), "grams")
+    return materialize(counted.groupBy("kind", "range").applyInArrow(run, schema), "grams")
 
 
 def losses(events: Events, good: np.ndarray, corpus: list[np.ndarray], n: tuple[int, int], vocabulary: int) -> np.ndarray:
@@ -261,16 +271,15 @@ def losses(events: Events, good: np.ndarray, corpus: list[np.ndarray], n: tuple[
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_tokens``, ``target_loss``, ``background_loss`` (means) and ``score`` of every document."""
     held = blocks(docs, labels, id_col, text_col)
-    # As many ranges of hashes as there are blocks, so that both hold about the same.
-    bits = max(0, held.select("block").distinct().count() - 1).bit_length()
+    bits = max(0, max(0, held.count() - 1).bit_length() - WIDER)
     answers = add_up(count_grams(held, bits))
     sums = answers.filter("block is null").agg(F.sum("vocabulary"), F.sum("n_total"), F.sum("n_good")).first()
     vocabulary, n_total, n_good = (x or 0 for x in sums)
     kind = dict(docs.dtypes)[id_col]
     schema = pa.schema([("n", pa.int64()), ("target", pa.float64()), ("background", pa.float64())])
 
-    def run(pieces: pa.Table, found: pa.Table) -> pa.Table:
-        rows = read_block(pieces)
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        rows = read_block(block.column("pieces")[0])
         events = Events(rows.column("t").to_pylist())
         found = found.sort_by([("kind", "ascending"), ("range", "ascending")])
         corpus = []

@@ -363,6 +363,35 @@ def test_lm_scores(spark, monkeypatch, block, chunk):
     assert lmscore.score(df.limit(0), good).count() == 0
 
 
+def test_lm_texts_are_sent_once(spark, odd, labels, monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK", 90)
+    monkeypatch.setattr(lmscore, "PIECE", 40)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, 2)
+    try:
+        held = lmscore.blocks(odd.coalesce(1), labels, "doc_id", "text")
+    finally:
+        spark.conf.set(key, kept)
+    n = held.count()
+    assert 3 < n < odd.count() and n == held.select("block").distinct().count()
+    texts = [r for b in held.orderBy("block").collect() for r in lmscore.read_block(lmscore.pa.scalar(bytes(b["pieces"]), lmscore.pa.binary())).to_pylist()]
+    assert sorted((str(r["id"]), r["t"], r["good"]) for r in texts) == sorted((str(r["doc_id"]), r["text"] or "", r["doc_id"] in (5, 7)) for r in odd.collect())
+    # Blocks are counted where they lie; a token's or bigram's hash range is one for all blocks.
+    counted = lmscore.count_grams(held, 5)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert {r["kind"]: r["n"] for r in counted.groupBy("kind").agg({"range": "max"}).withColumnRenamed("max(range)", "n").collect()} == {0: 7, 1: 31}
+
+
+def test_lm_scores_by_wider_ranges(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK", 60)
+    docs = [(i, " ".join(f"w{(i * 7 + k * k) % 61}" for k in range(20))) for i in range(40)]
+    known = spark.createDataFrame([(i, 1) for i in range(0, 40, 3)], "doc_id long, quality int")
+    got = {r["doc_id"]: (r["n_tokens"], r["target_loss"], r["background_loss"]) for r in lmscore.score(spark.createDataFrame(docs, "doc_id long, text string"), known).collect()}
+    for i, *want in brute_scores(docs, set(range(0, 40, 3))):
+        assert got[i] == pytest.approx(tuple(want))
+
+
 def test_lm_table_grows_with_the_corpus(spark):
     rows = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k * k) % 997}" for k in range(100))) for i in range(100)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
