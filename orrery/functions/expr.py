@@ -13,6 +13,8 @@ from dataclasses import dataclass, replace
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import _to_java_column
+from pyspark.sql.functions.builtin import _invoke_function
 from pyspark.sql.types import DataType
 
 Value = Column | int | float | str | bool | None
@@ -485,20 +487,28 @@ class Rank(Ordered):
         return F.when(self.value.isNotNull(), out.cast("double"))
 
 
+def following(a: Column, w: WindowSpec) -> Column:
+    """The first value that isn't null in the rows after, in one pass over the window's rows.
+
+    A frame that ends at the last row would be read anew for every row, which is
+    quadratic; ``lead`` goes on from value to value. ``pyspark`` has no argument for its IGNORE NULLS.
+    """
+    return _invoke_function("lead", _to_java_column(a), 1, None, True).over(w)
+
+
 def interpolate(a: Column, method: str = "linear") -> Ordered:
     """Fill nulls: linear (between neighbours, double), pad or ffill (value before), bfill (value after)."""
 
     def build(w):
         before = w.rowsBetween(Window.unboundedPreceding, 0)
-        after = w.rowsBetween(0, Window.unboundedFollowing)
         if method in ("pad", "ffill"):
             return F.last(a, True).over(before)
         if method == "bfill":
-            return F.first(a, True).over(after)
+            return F.coalesce(a, following(a, w))
         at = F.row_number().over(w)
         known = F.when(a.isNotNull(), at)
-        x0, x1 = F.last(known, True).over(before), F.first(known, True).over(after)
-        y0, y1 = F.last(a, True).over(before).cast("double"), F.first(a, True).over(after).cast("double")
+        x0, x1 = F.last(known, True).over(before), following(known, w)
+        y0, y1 = F.last(a, True).over(before).cast("double"), following(a, w).cast("double")
         return between(a, at, x0, y0, x1, y1)
 
     if method not in ("linear", "pad", "ffill", "bfill"):

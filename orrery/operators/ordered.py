@@ -14,8 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from ..functions.expr import Ordered, Rank, between
+from ..functions.expr import Ordered, Rank, between, following
 
 #: Rows of a chunk, buckets of the order key, rows sampled for their boundaries, and parts of the rows of a hot key.
 CHUNK, BUCKETS, SAMPLED, PARTS = 1_000_000, 256, 4096, 16
@@ -23,6 +24,23 @@ CHUNK, BUCKETS, SAMPLED, PARTS = 1_000_000, 256, 4096, 16
 RN = "__rn"
 
 
+def boundaries(df: DataFrame, key: Column, buckets: int = BUCKETS) -> list:
+    """Values that cut the key into buckets, in order, from a sample of the rows; one that fills whole buckets comes more than once."""
+    sample = [r["k"] for r in df.select(key.alias("k")).filter("k is not null").orderBy(F.rand(7)).limit(SAMPLED).collect()]
+    sample.sort()
+    step = max(1, len(sample) // buckets)
+    return sample[step::step]
+
+
+def bucket_of(key: Column, bounds: list, kind: DataType) -> Column:
+    """How many of the sorted bounds are at most the key; blocks of bounds are counted first, then the bounds of one block."""
+    literals = [F.lit(b).cast(kind) for b in bounds]
+    block = max(1, int(len(bounds) ** 0.5))
+    at_most = lambda x: F.size(F.filter(x, lambda b: b <= key))
+    skipped = at_most(F.array(*literals[block - 1 :: block])) * block
+    return skipped + at_most(F.slice(F.array(*literals), skipped + 1, block))
+
+
 def number_rows(df: DataFrame, order: list[Column], name: str = RN, buckets: int = BUCKETS) -> DataFrame:
     """``df`` with each row's number, from 1, in the given order (nulls last); ties are numbered in any order.
 
@@ -32,17 +50,13 @@ def number_rows(df: DataFrame, order: list[Column], name: str = RN, buckets: int
     key = order[0]
     if any(x in str(key) for x in (" ASC", " DESC")):
         raise ValueError("the order key is a column; its direction is ascending")
-    sample = [r["k"] for r in df.select(key.alias("k")).filter("k is not null").orderBy(F.rand(7)).limit(SAMPLED).collect()]
-    sample.sort()
-    step = max(1, len(sample) // buckets)
-    cuts = sample[step::step]
+    cuts = boundaries(df, key, buckets)
     bounds = sorted(set(cuts))
     hot = [b for b in bounds if cuts.count(b) > 1] if len(order) == 1 else []
     out = df.withColumn("__key", key)
     if bounds:
-        kind = out.schema["__key"].dataType
-        limits = F.array(*[F.lit(b).cast(kind) for b in bounds])
-        out = out.withColumn("__bucket", F.when(F.col("__key").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(limits, lambda b: b <= F.col("__key")))))
+        at = bucket_of(F.col("__key"), bounds, out.schema["__key"].dataType)
+        out = out.withColumn("__bucket", F.when(F.col("__key").isNull(), F.lit(len(bounds) + 1)).otherwise(at))
     else:
         out = out.withColumn("__bucket", F.when(F.col("__key").isNull(), 1).otherwise(0))
     if hot:
@@ -71,40 +85,48 @@ def evaluate(df: DataFrame, order: list[Column], exprs: dict[str, Ordered], chun
         w = Window.partitionBy("__chunk").orderBy(RN)
         out = out.withColumns({final[n]: e.build(w) for n, e in near.items()})
         out = out.filter("__own = __chunk").drop("__own", "__chunk")
+    carried = {final[n]: e for n, e in exprs.items() if e.reach is None and not isinstance(e, Rank)}
+    if carried:
+        out = _carried(out, carried, chunk)
     for name, e in exprs.items():
-        if e.reach is None:
-            out = _rank(out, final[name], e) if isinstance(e, Rank) else _carried(out, final[name], e, chunk)
+        if isinstance(e, Rank):
+            out = _rank(out, final[name], e)
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in final], *[F.col(final[n]).alias(n) for n in final], RN)
 
 
-def _carried(df: DataFrame, name: str, e: Ordered, chunk: int) -> DataFrame:
-    """Running aggregates and fills: within the chunk, and what its neighbours hand on."""
+def _carried(df: DataFrame, exprs: dict[str, Ordered], chunk: int) -> DataFrame:
+    """Running aggregates and fills: within the chunk, and what its neighbours hand on; all of them at once."""
     before, upto = Window.unboundedPreceding, 0
     df = df.withColumn("__chunk", F.floor((F.col(RN) - 1) / chunk))
     w = Window.partitionBy("__chunk").orderBy(RN)
     all_chunks = Window.orderBy("__chunk")
-    a = e.value
-    if e.kind in ("sum", "product", "min", "max"):
-        f = getattr(F, e.kind)
-        totals = df.groupBy("__chunk").agg(f(a).alias("__t"))
-        carry = totals.select("__chunk", f("__t").over(all_chunks.rowsBetween(before, -1)).alias("__c"))
-        here = f(a).over(w.rowsBetween(before, upto))
-        both = {"sum": lambda x, y: x + y, "product": lambda x, y: x * y, "min": F.least, "max": F.greatest}[e.kind]
-        out = df.withColumn("__h", here).join(carry, "__chunk")
-        value = F.when(a.isNotNull(), F.when(F.col("__c").isNull(), F.col("__h")).otherwise(both(F.col("__c"), F.col("__h"))))
-        return out.withColumn(name, value).drop("__h", "__c", "__chunk")
-    known = F.when(a.isNotNull(), F.struct(F.col(RN).alias("x"), a.alias("y")))
-    ends = df.groupBy("__chunk").agg(F.max_by(known, F.when(a.isNotNull(), F.col(RN))).alias("__l"), F.min_by(known, F.when(a.isNotNull(), F.col(RN))).alias("__f"))
-    carry = ends.select("__chunk", F.last("__l", True).over(all_chunks.rowsBetween(before, -1)).alias("__p"), F.first("__f", True).over(all_chunks.rowsBetween(1, Window.unboundedFollowing)).alias("__n"))
-    out = df.withColumns({"__b": F.last(known, True).over(w.rowsBetween(before, upto)), "__a": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))}).join(carry, "__chunk")
-    prev, following = F.coalesce("__b", "__p"), F.coalesce("__a", "__n")
-    if e.kind == "ffill":
-        value = prev["y"]
-    elif e.kind == "bfill":
-        value = following["y"]
-    else:
-        value = between(a, F.col(RN), prev["x"], prev["y"].cast("double"), following["x"], following["y"].cast("double"))
-    return out.withColumn(name, value).drop("__b", "__a", "__p", "__n", "__chunk")
+    totals, carries, here, values = [], [], {}, {}
+    for i, (name, e) in enumerate(exprs.items()):
+        a = e.value
+        t, c, h, f, n, b, x = (f"__{k}{i}" for k in "tchfnbx")
+        if e.kind in ("sum", "product", "min", "max"):
+            over = getattr(F, e.kind)
+            totals += [over(a).alias(t)]
+            carries += [over(t).over(all_chunks.rowsBetween(before, -1)).alias(c)]
+            here[h] = over(a).over(w.rowsBetween(before, upto))
+            both = {"sum": lambda x, y: x + y, "product": lambda x, y: x * y, "min": F.least, "max": F.greatest}[e.kind]
+            values[name] = F.when(a.isNotNull(), F.when(F.col(c).isNull(), F.col(h)).otherwise(both(F.col(c), F.col(h))))
+            continue
+        known = F.when(a.isNotNull(), F.struct(F.col(RN).alias("x"), a.alias("y")))
+        at = F.when(a.isNotNull(), F.col(RN))
+        totals += [F.max_by(known, at).alias(t), F.min_by(known, at).alias(f)]
+        carries += [F.last(t, True).over(all_chunks.rowsBetween(before, -1)).alias(c), following(F.col(f), all_chunks).alias(n)]
+        here |= {b: F.last(known, True).over(w.rowsBetween(before, upto)), x: F.coalesce(known, following(known, w))}
+        prev, after = F.coalesce(b, c), F.coalesce(x, n)
+        if e.kind == "ffill":
+            values[name] = prev["y"]
+        elif e.kind == "bfill":
+            values[name] = after["y"]
+        else:
+            values[name] = between(a, F.col(RN), prev["x"], prev["y"].cast("double"), after["x"], after["y"].cast("double"))
+    carry = df.groupBy("__chunk").agg(*totals).select("__chunk", *carries)
+    out = df.withColumns(here).join(carry, "__chunk")
+    return out.select(*[F.col(f"`{k}`") for k in df.columns if k != "__chunk"], *[v.alias(k) for k, v in values.items()])
 
 
 def _rank(df: DataFrame, name: str, e: Rank) -> DataFrame:

@@ -4,13 +4,13 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from orrery import Frame
 from orrery.functions import expr as E
 from orrery.functions.expr import col
 from orrery.operators import joins, relational
-from orrery.operators.ordered import evaluate, number_rows
+from orrery.operators.ordered import bucket_of, evaluate, number_rows
 from orrery.plans import inspect
 
 
@@ -240,6 +240,28 @@ def test_row_order_expressions_across_small_chunks(spark):
     assert sorted(map(str, one)) == sorted(map(str, many))
 
 
+@pytest.mark.parametrize("method", ["ffill", "bfill"])
+@pytest.mark.parametrize("partition", [(), ("g",)])
+def test_fills_go_through_a_window_once(spark, method, partition):
+    values = [None if i % 3 else i for i in range(50)]
+    f = Frame.create(spark, {"x": ("int64", values), "g": ("int64", [0] * 50)}).with_column("y", E.interpolate(col("x"), method).over(*partition))
+    # A frame up to the last row is read anew for each row: 100,000 rows took minutes.
+    assert "unboundedfollowing" not in f.df._jdf.queryExecution().toString().lower()
+    assert f.to_dict()["y"] == [i // 3 * 3 if method == "ffill" or i % 3 == 0 else i // 3 * 3 + 3 if i < 48 else None for i in range(50)]
+
+
+def test_carried_expressions_share_a_pass(spark):
+    df = Frame.create(spark, {"x": ("int64", GAPS)})
+    scans = lambda n: evaluate(df._df, [col("__rid")], {f"y{i}": E.interpolate(col("x"), "ffill") for i in range(n)})._jdf.queryExecution().optimizedPlan().toString().count("__rid")
+    assert scans(4) == scans(1)
+
+
+def test_buckets_count_the_bounds(spark):
+    for bounds in ([3], [1, 4], [1, 4, 4, 9, 12, 13, 20]):
+        got = spark.range(-1, 25).select("id", bucket_of(col("id"), bounds, LongType()).alias("b")).collect()
+        assert [r["b"] for r in got] == [sum(b <= i for b in bounds) for i in range(-1, 25)]
+
+
 def test_ranks_with_ties(spark):
     f = Frame.create(spark, {"x": ("int64", [3, 1, 3, None, 2, 3])})
     out = f.with_columns({m: E.rank(col("x"), m) for m in ("average", "min", "max", "dense", "ordinal")}).to_dict()
