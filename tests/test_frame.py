@@ -250,6 +250,14 @@ def test_fills_go_through_a_window_once(spark, method, partition):
     assert f.to_dict()["y"] == [i // 3 * 3 if method == "ffill" or i % 3 == 0 else i // 3 * 3 + 3 if i < 48 else None for i in range(50)]
 
 
+@pytest.mark.parametrize("partition", [(), ("g",)])
+def test_interpolation_goes_through_a_window_once(spark, partition):
+    values = [None if i % 4 else i for i in range(42)]
+    f = Frame.create(spark, {"x": ("int64", values), "g": ("int64", [0] * 42)}).with_column("y", E.interpolate(col("x")).over(*partition))
+    assert "unboundedfollowing" not in f.df._jdf.queryExecution().toString().lower()
+    assert f.to_dict()["y"] == [float(i) if i <= 40 else None for i in range(42)]
+
+
 def test_carried_expressions_share_a_pass(spark):
     df = Frame.create(spark, {"x": ("int64", GAPS)})
     scans = lambda n: evaluate(df._df, [col("__rid")], {f"y{i}": E.interpolate(col("x"), "ffill") for i in range(n)})._jdf.queryExecution().optimizedPlan().toString().count("__rid")
