@@ -67,9 +67,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 1
 
     A row's salt is a hash of the row, the same whenever its task is run again.
     For keys known to be hot where adaptive execution is off; otherwise leave it to Spark's skew handling.
+    Spark estimates the repeated rows by the size of the single ones and would broadcast them, so a sort-merge join is asked for.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can salt the left side")
     l = left.withColumn("__salt", F.pmod(F.xxhash64(*[col(c) for c in left.columns]), F.lit(salts)).cast("int"))  # noqa: E741
     r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [*on, "__salt"], how).drop("__salt")
+    return l.join(r.hint("merge"), [*on, "__salt"], how).drop("__salt")

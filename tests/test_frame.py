@@ -150,6 +150,16 @@ def test_join_errors_and_cross(sides):
     assert salted.count() == 4
 
 
+def test_a_salted_join_broadcasts_nothing(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS k", "id AS w").write.parquet(f"{tmp_path}/right")
+    left = spark.range(50).selectExpr("id % 5 AS k", "id AS v")
+    for how in ("inner", "left"):
+        out = joins.salted_join(left, spark.read.parquet(f"{tmp_path}/right"), ["k"], 4, how)
+        assert sorted(map(tuple, out.collect())) == sorted((i % 5, i, i % 5) for i in range(50))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_group_by(spark):
     f = Frame.create(spark, {"g": ("string", ["x", "x", None, "y", None]), "v": ("int64", [30, 10, 1, None, 2]), "d": ("date", [datetime.date(2024, 1, d) for d in (5, 4, 3, 2, 1)])})
     out = {r["g"]: (r["v"], r["d"]) for r in f.group_by("g").agg({"v": "sum", "d": "max"}).collect()}
