@@ -45,3 +45,16 @@ def test_samples_have_the_size_asked_for(spark):
     orders = spark.read.parquet(f"{SF_DIR}/orders.parquet").count()
     assert QUERIES["select_sample_fraction"](spark, SF_DIR).count() == round(orders * 0.1)
     assert set(QUERIES) - set(SQL) == {"select_sample", "select_sample_fraction"}
+
+
+def test_first_and_last_of_equal_prices_are_settled(spark, tmp_path):
+    for t in TABLES:
+        if t != "orders":
+            os.symlink(f"{SF_DIR}/{t}.parquet", tmp_path / f"{t}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE TABLE orders AS SELECT s.* REPLACE (i * 10000 + o_orderkey AS o_orderkey, CASE WHEN o_custkey % 7 > 0 OR i > 1 THEN o_totalprice END AS o_totalprice) FROM '{SF_DIR}/orders.parquet' s, range(4) r(i) ORDER BY o_orderkey")
+    want = rows_of(["o_custkey", "f", "l", "m"], con.execute(SQL["sql_group_first_last"]).fetchall())
+    for order in ("o_orderkey", "o_orderkey DESC", "hash(o_orderkey)"):
+        con.execute(f"COPY (FROM orders ORDER BY {order}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+        got = QUERIES["sql_group_first_last"](spark, str(tmp_path))
+        assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == want
