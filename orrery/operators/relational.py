@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -126,19 +127,59 @@ def arg_sort(df: DataFrame, by: str, order: list[str], descending: bool = False)
     return number_rows(numbered.select("idx", "__v"), [F.col("__v"), F.col("idx")], "pos").select("idx", (F.col("pos") - 1).alias("pos"))
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` with its present physical plan, so that each run has the same partitions, whatever columns are read of it."""
+    spark = df.sparkSession
+    rows = df._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
+
+
+#: Equal ranges of random numbers that rows are counted by; one of them is then looked at closely.
+RANGES = 65536
+
+
+def _drawn(df: DataFrame, size: Callable[[int], int], seed: int) -> DataFrame:
+    """Exactly as many rows as ``size`` makes of their number: those of the smallest random numbers.
+
+    The largest of these is found first, by counts of ranges of numbers and then
+    the numbers of one range (one of 65,536 rows). Rows are then filtered where
+    they are; a sort with a limit would bring all of the sample into one task.
+    """
+    base = pinned(df)
+    while True:
+        drawn = base.withColumn("__r", F.rand(seed))
+        part = F.floor(F.col("__r") * RANGES)
+        counts = sorted(map(tuple, drawn.groupBy(part).count().collect()))
+        n = size(sum(c for _, c in counts))
+        if n == 0:
+            return drawn.filter("__r < 0").drop("__r")
+        left = n
+        for at, c in counts:
+            if c >= left:
+                break
+            left -= c
+        numbers = sorted(r[0] for r in drawn.filter(part == at).select("__r").collect())
+        if left == len(numbers) or numbers[left] > numbers[left - 1]:
+            return drawn.filter(F.col("__r") <= F.lit(numbers[left - 1])).drop("__r")
+        seed += 1  # two rows drew the same last number
+
+
 def sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Exactly n rows without replacement; more than there are is an error."""
-    out = df.orderBy(F.rand(seed)).limit(n)
-    if n > 0 and out.count() < n:
-        raise ValueError(f"a sample of {n} rows is larger than the frame")
-    return out
+
+    def size(rows: int) -> int:
+        if n > rows:
+            raise ValueError(f"a sample of {n} rows is larger than the frame")
+        return max(0, n)
+
+    return _drawn(df, size, seed)
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """A share of the rows, rounded to whole ones."""
     if not 0 <= fraction <= 1:
         raise ValueError(f"a fraction lies between 0 and 1, not {fraction}")
-    return sample(df, int(df.count() * fraction + 0.5), seed)
+    return _drawn(df, lambda rows: int(rows * fraction + 0.5), seed)
 
 
 def unique(df: DataFrame, subset: list[str] | None = None, order: list[str] = ()) -> DataFrame:

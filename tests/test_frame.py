@@ -96,6 +96,20 @@ def test_samples(people):
         people.sample_fraction(1.5)
 
 
+def test_samples_are_drawn_where_rows_are(spark):
+    shuffled = spark.range(0, 3000, 1, 7).selectExpr("id % 1000 AS k", "id").groupBy("k").agg(F.sum("id").alias("s"), F.collect_list("id").alias("ids"))
+    for df in (spark.range(0, 1000, 1, 5).withColumnRenamed("id", "k"), shuffled, Frame(shuffled, "k").sort("k").df):
+        for n in (0, 1, 437, 1000):
+            out = relational.sample(df, n, 5)
+            # The same number of rows, whatever columns are read.
+            assert out.count() == n and out.select("k").distinct().count() == n and len(out.collect()) == n
+            assert not {"TakeOrderedAndProject", "CollectLimit", "GlobalLimit"} & set(inspect.operators(out))
+    assert relational.sample_fraction(shuffled, 0.1, 2).count() == 100
+    few = [frozenset(r["k"] for r in relational.sample(shuffled, 20, seed).collect()) for seed in range(4)]
+    assert len(set(few)) == 4
+    assert relational.sample_fraction(spark.range(0), 0.5).count() == 0
+
+
 def test_unique_keeps_the_first(spark):
     f = Frame.create(spark, {"a": ("int64", [1, 2, 1, None, None]), "b": ("string", ["first", "only", "again", "n", "m"])})
     assert sorted(f.unique("a").df.collect(), key=str) == sorted([(1, "first"), (2, "only"), (None, "n")], key=str)
