@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 from pyspark.sql.classic.column import _to_java_column
 from pyspark.sql.functions.builtin import _invoke_function
 from pyspark.sql.types import DataType
@@ -280,13 +281,29 @@ def n_unique(a: Column) -> Column:
     return F.count_distinct(a)
 
 
+class Quantile(ClassicColumn):
+    """An exact quantile: Spark's aggregate, whose state holds all values of a group.
+
+    ``of`` and ``p`` tell a grouping that has it as a whole column what to
+    compute, so that it can spread a group's values over tasks instead.
+    """
+
+    def __init__(self, column: Column, of: Column, p: float, name: str | None):
+        super().__init__(column._jc)
+        self.of, self.p, self.called = of, p, name
+
+    def alias(self, *names: str, **options) -> Column:
+        out = super().alias(*names, **options)
+        return Quantile(out, self.of, self.p, names[0]) if len(names) == 1 and not options else out
+
+
 def median(a: Column) -> Column:
-    return F.median(a)
+    return Quantile(F.median(a), a, 0.5, None)
 
 
 def quantile(a: Column, p: float) -> Column:
     """Exact, interpolated linearly; null for p outside 0 to 1."""
-    return F.percentile(a, p) if 0 <= p <= 1 else F.max(F.lit(None).cast("double"))
+    return Quantile(F.percentile(a, p), a, p, None) if 0 <= p <= 1 else F.max(F.lit(None).cast("double"))
 
 
 def first(a: Column, order: Column | str) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from ..functions import expr as E
+from .ordered import boundaries, bucket_of
 from .relational import require, require_unique
 
 #: Aggregates by name; those of the row order take the order key.
@@ -26,6 +28,47 @@ BY_NAME: dict[str, Callable[[Column], Column]] = {
 NUMERIC = {"sum", "mean", "std", "var", "median"}
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``left`` with the other columns of ``right``, which has a row at most for its values of the keys; null equals null."""
+    to = {k: f"__of{k}" for k in keys}
+    right = right.select(*[F.col(c).alias(to.get(c, c)) for c in right.columns])
+    return left.join(right, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in to.items()], F.lit(True)), how).drop(*to.values())
+
+
+def quantiles(df: DataFrame, keys: int, wanted: dict[str, float]) -> DataFrame:
+    """Exact quantiles of the numbers ``__v`` by the keys ``__g0`` and on, interpolated linearly; null values don't count.
+
+    Equal values of a group are counted, and dealt into buckets by value, each of
+    which knows from the buckets' counts where it begins. Only the buckets that
+    hold a wanted place are sorted, so no task sees a whole group. A group
+    without values has no row.
+    """
+    ks = [f"__g{k}" for k in range(keys)]
+    df = df.filter("__v is not null")
+    bounds = list(dict.fromkeys(boundaries(df, F.col("__v"))))
+    kind = df.schema["__v"].dataType
+    counts = df.groupBy(*ks, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.withColumn("__b", bucket_of(F.col("__v"), bounds, kind) if bounds else F.lit(0))
+    group = Window.partitionBy(*ks)
+    sizes = counts.groupBy(*ks, "__b").agg(F.sum("__n").alias("__n"))
+    sizes = sizes.withColumns({"__to": F.sum("__n").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(group)})
+    place = {q: (F.col("__all") - 1) * F.lit(float(p)) for q, p in wanted.items()}
+    ends = {q: (F.floor(x), F.ceil(x)) for q, x in place.items()}
+    within = lambda x, a, b: (x >= a) & (x < b)
+    holds = reduce(lambda x, y: x | y, [within(x, F.col("__to") - F.col("__n"), F.col("__to")) for pair in ends.values() for x in pair])
+    needed = sizes.filter(holds).withColumn("__start", F.col("__to") - F.col("__n")).drop("__n", "__to")
+    rows = _beside(counts, needed, [*ks, "__b"], "inner")
+    upto = F.col("__start") + F.sum("__n").over(Window.partitionBy(*ks, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__end", upto).withColumn("__begin", F.col("__end") - F.col("__n"))
+    picks = {f"{q}{side}": F.max(F.when(within(x, F.col("__begin"), F.col("__end")), F.col("__v"))).cast("double") for q, pair in ends.items() for side, x in zip("lh", pair, strict=True)}
+    found = rows.groupBy(*ks).agg(F.max("__all").alias("__all"), *[c.alias(n) for n, c in picks.items()])
+    out = {}
+    for q, (low, high) in ends.items():
+        a, b = F.col(f"{q}l"), F.col(f"{q}h")
+        out[q] = F.when(a == b, a).otherwise((high - place[q]) * a + (place[q] - low) * b)
+    return found.select(*ks, *[c.alias(q) for q, c in out.items()])
+
+
 class GroupBy:
     """Groups of a frame; null is a key like others."""
 
@@ -54,10 +97,25 @@ class GroupBy:
         return self.agg_exprs(*out)
 
     def agg_exprs(self, *exprs: Column) -> DataFrame:
-        """Any aggregate expressions, each with an alias."""
+        """Any aggregate expressions, each with an alias; medians and quantiles of numbers are spread over tasks."""
         if not exprs:
             return self.df.select(*E.cols(*self.keys)).distinct()
-        return self.df.groupBy(*E.cols(*self.keys)).agg(*exprs)
+        spread = {} if self.df.isStreaming else {i: e for i, e in enumerate(exprs) if isinstance(e, E.Quantile) and e.called and isinstance(self.df.select(e.of).schema[0].dataType, NumericType)}
+        if not spread:
+            return self.df.groupBy(*E.cols(*self.keys)).agg(*exprs)
+        kept = [e for i, e in enumerate(exprs) if i not in spread]
+        keys = [F.col(f"__g{k}") for k in range(len(self.keys))]
+        out = self.df.groupBy(*E.cols(*self.keys)).agg(*(kept or [F.count(F.lit(1)).alias("__rows")]))
+        names = [*self.keys, *[out.columns[len(self.keys) + i] for i in range(len(kept))]]
+        out = out.toDF(*[f"__g{k}" for k in range(len(self.keys))], *[f"__a{i}" for i in range(max(1, len(kept)))])
+        for of in {id(e.of): e.of for e in spread.values()}.values():
+            wanted = {f"__q{i}": e.p for i, e in spread.items() if e.of is of}
+            found = quantiles(self.df.select(*[E.col(k).alias(f"__g{j}") for j, k in enumerate(self.keys)], of.alias("__v")), len(keys), wanted)
+            out = _beside(out, found, [f"__g{k}" for k in range(len(keys))], "left")
+        rest = iter(range(len(kept)))
+        values = [F.col(f"__q{i}").alias(spread[i].called) if i in spread else next(rest) for i in range(len(exprs))]
+        values = [F.col(f"__a{v}").alias(names[len(self.keys) + v]) if isinstance(v, int) else v for v in values]
+        return out.select(*[k.alias(n) for k, n in zip(keys, self.keys, strict=True)], *values)
 
     def apply(self, function: Callable, schema: str) -> DataFrame:
         """A user function of each group's rows as a pandas frame; a group must fit a worker's memory."""

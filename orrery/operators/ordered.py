@@ -27,7 +27,7 @@ RN = "__rn"
 def boundaries(df: DataFrame, key: Column, buckets: int = BUCKETS) -> list:
     """Values that cut the key into buckets, in order, from a sample of the rows; one that fills whole buckets comes more than once."""
     sample = [r["k"] for r in df.select(key.alias("k")).filter("k is not null").orderBy(F.rand(7)).limit(SAMPLED).collect()]
-    sample.sort()
+    sample.sort(key=lambda v: (v != v, v))  # NaN is the largest number
     step = max(1, len(sample) // buckets)
     return sample[step::step]
 
@@ -51,7 +51,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str = RN, buckets: int
     if any(x in str(key) for x in (" ASC", " DESC")):
         raise ValueError("the order key is a column; its direction is ascending")
     cuts = boundaries(df, key, buckets)
-    bounds = sorted(set(cuts))
+    bounds = list(dict.fromkeys(cuts))
     hot = [b for b in bounds if cuts.count(b) > 1] if len(order) == 1 else []
     out = df.withColumn("__key", key)
     if bounds:

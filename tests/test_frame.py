@@ -309,6 +309,12 @@ def test_numbers_of_hot_and_null_keys(spark):
     assert [r["__rn"] for r in out] == list(range(1, 74)) and [r["k"] for r in out] == sorted([5] * 50 + list(range(20))) + [None] * 3
 
 
+def test_numbers_of_keys_with_nan(spark):
+    df = spark.createDataFrame([(float("nan") if i % 3 else float(i * 37 % 101),) for i in range(300)], "k double")
+    out = number_rows(df, [col("k")], buckets=16).orderBy("__rn").collect()
+    assert [r["__rn"] for r in out] == list(range(1, 301)) and [r["k"] for r in out[:100]] == sorted(float(i * 37 % 101) for i in range(0, 300, 3))
+
+
 def test_plans(spark, people):
     top = relational.top_k(people.df, "score", 2)
     assert "TakeOrderedAndProject" in inspect.operators(top)

@@ -10,6 +10,7 @@ from orrery.functions import strings as S
 from orrery.functions import temporal as D
 from orrery.functions import types as T
 from orrery.functions.layout import spark_pattern
+from orrery.operators.grouping import GroupBy
 
 
 def value(spark, c):
@@ -104,6 +105,27 @@ def test_aggregates(spark):
     assert tuple(r) == (10.0, "b", "a", 3, 1, None, 4.0, None, 2)
 
 
+@pytest.mark.parametrize("kind", ["double", "long", "decimal(12,2)"])
+@pytest.mark.parametrize("keys", [[], ["g"], ["g", "o dd.key"]])
+def test_quantiles_of_groups_are_spread_over_tasks(spark, kind, keys):
+    rows = [(None if i % 5 == 0 else i % 5, i % 2, None if i % 5 == 4 or i % 7 == 0 else (i * 7919) % 613 if i % 3 else 40) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, `o dd.key` int, v long").withColumn("v", F.col("v").cast(kind))
+    exprs = lambda: [E.median(F.col("v")).alias("m"), E.sum_(F.col("v")).alias("s"), *[E.quantile(F.col("v"), p).alias(f"p{i}") for i, p in enumerate((0, 0.1, 0.25, 0.333, 0.99, 1))]]
+    out, plain = GroupBy(df, keys).agg_exprs(*exprs()), df.groupBy(*[E.col(k) for k in keys]).agg(*exprs())
+    assert out.schema.simpleString() == plain.schema.simpleString() and sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan(out) and "median(" not in plan(out) and "percentile(" in plan(plain)
+    only = GroupBy(df.filter("v < 0"), keys).agg_exprs(E.median(F.col("v")).alias("m"))
+    assert [tuple(r) for r in only.collect()] == ([] if keys else [(None,)])
+
+
+def test_quantiles_of_odd_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([("a", inf), ("a", -inf), ("b", nan), ("b", 1.0), ("b", 2.0), ("c", inf), ("c", inf), ("e", nan), ("f", None)], "g string, v double")
+    exprs = [E.median(F.col("v")).alias("m"), E.quantile(F.col("v"), 0.75).alias("q")]
+    assert sorted(map(str, GroupBy(df, ["g"]).agg_exprs(*exprs).collect())) == sorted(map(str, df.groupBy("g").agg(*exprs).collect()))
+
+
 def test_lists_sorted_by_another_column(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, None, 3), (1, "n", None)], "k long, v string, o long")
     r = df.groupBy("k").agg(E.sort_by(F.col("v"), F.col("o")).alias("up"), E.sort_by(F.col("v"), F.col("o"), True).alias("down")).first()
